@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewell.llm import op01_bpe
+from tracewell.llm import op01_bpe, op08_chat
 
-MODULES = (op01_bpe,)
+MODULES = (op01_bpe, op08_chat)
 
 
 def queries() -> dict:
