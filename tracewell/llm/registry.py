@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewell.llm import op01_bpe, op03_telephony, op08_chat
+from tracewell.llm import op01_bpe, op03_telephony, op05_licenses, op08_chat
 
-MODULES = (op01_bpe, op03_telephony, op08_chat)
+MODULES = (op01_bpe, op03_telephony, op05_licenses, op08_chat)
 
 
 def queries() -> dict:
