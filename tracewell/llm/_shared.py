@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Rows that Spark puts into one Arrow batch: texts can be long, so batches are short.
-BATCH_ROWS = 512
+BATCH_ROWS = 128
 #: Taken only where spark.checkpoint.dir is unset, as in local tests.
 LOCAL_SHARED = "/tmp/checkpoints/tracewell"
 
