@@ -154,9 +154,10 @@ CELL = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("ch
 ANSWER = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("bits", T.BinaryType())])
 
 
-def _opened(table: pa.Table, window: int) -> Chunk:
-    ids = table["_id"].fill_null(LAST_ID).to_numpy()
-    return Chunk(table["_text"].cast(pa.binary()).to_pylist(), ids, window)
+def _opened(table: pa.Table, at: tuple[str, str, int]) -> Chunk:
+    """at: names of the id and the text, and the window."""
+    ids = table[at[0]].cast(pa.int64()).fill_null(LAST_ID).to_numpy()
+    return Chunk(table[at[1]].cast(pa.binary()).to_pylist(), ids, at[2])
 
 
 def _cells(bucket, chunk, keys, more) -> pa.Table:
@@ -168,9 +169,9 @@ def _answers(chunks, kind, bucket, bits) -> pa.Table:
     return pa.table({"chunk": pa.array(chunks, pa.int64()), "kind": pa.array([kind] * n, pa.int32()), "bucket": pa.array([bucket] * n, pa.int32()), "bits": pa.array(bits, pa.binary())})
 
 
-def _send_anchors(window: int, buckets: int):
+def _send_anchors(at, buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        c = _opened(table, window)
+        c = _opened(table, at)
         _, bucket, key, block, _ = c.probes(buckets)
         distinct, place, edges = c.cells(bucket, key, buckets)
         is_block = np.zeros(len(distinct), bool)
@@ -217,11 +218,11 @@ def _hit_windows(c: Chunk, answers: pa.Table, buckets: int) -> np.ndarray:
     return c.near(at[hit | local])
 
 
-def _send_windows(window: int, buckets: int):
+def _send_windows(at, buckets: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _cells([], 0, [], [])
-        c = _opened(table, window)
+        c = _opened(table, at)
         keys, edges, least, *_ = c.windows(_hit_windows(c, answers, buckets), buckets)
         sent = [b for b in range(buckets) if edges[b] < edges[b + 1]]
         part = [slice(edges[b], edges[b + 1]) for b in sent]
@@ -261,11 +262,11 @@ def covered(c: Chunk, answers: pa.Table, buckets: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _remove(window: int, buckets: int, columns: list[str], schema: pa.Schema):
+def _remove(at, buckets: int, columns: list[str], schema: pa.Schema):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return schema.empty_table()
-        c = _opened(table, window)
+        c = _opened(table, at)
         gone = covered(c, answers, buckets)
         kept, removed, spans = [], [], []
         for words, s, e in zip(c.words, c.starts, c.ends, strict=True):
@@ -294,22 +295,21 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int
     _shared.short_batches(spark, 4096)
     size = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = max(math.ceil(size["bytes"] / chunk_bytes), min(2 * parts, math.ceil(size["rows"] / 64)), 1)
-    buckets = max(math.ceil(size["bytes"] / 6 / bucket_hashes), min(2 * parts, chunks))
+    chunks = max(math.ceil(size["bytes"] / chunk_bytes), min(parts, math.ceil(size["rows"] / 64)), 1)
+    buckets = max(math.ceil(size["bytes"] / 6 / bucket_hashes), min(parts, chunks))
 
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("removed_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
-    carried = _shared.without(df, [*[f.name for f in added], "chunk", "_id", "_text"])
-    columns = carried.columns
-    extra = [F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), F.pmod(F.xxhash64(doc_id, text), F.lit(chunks)).alias("chunk")]
-    dealt = df.select(*[f"`{c}`" for c in columns], *extra).repartition("chunk")
-    slim = dealt.select("chunk", "_id", "_text")
+    columns = _shared.without(df, [*[f.name for f in added], "chunk"]).columns
+    # every step takes all columns, so that the plan deals the documents out once and reuses that exchange
+    dealt = df.select(*[f"`{c}`" for c in columns], F.pmod(F.xxhash64(doc_id, text), F.lit(chunks)).alias("chunk")).repartition("chunk")
     out = T.StructType([*[df.schema[c] for c in columns], *added])
+    at = (doc_id, text, window)
 
-    anchors = slim.groupBy("chunk").applyInArrow(_send_anchors(window, buckets), CELL)
+    anchors = dealt.groupBy("chunk").applyInArrow(_send_anchors(at, buckets), CELL)
     met = anchors.groupBy("bucket").applyInArrow(_meet_anchors, ANSWER)
-    windows = slim.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(_send_windows(window, buckets), CELL)
+    windows = dealt.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(_send_windows(at, buckets), CELL)
     answers = met.unionByName(windows.groupBy("bucket").applyInArrow(_meet_windows, ANSWER))
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(window, buckets, columns, to_arrow_schema(out)), out)
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(at, buckets, columns, to_arrow_schema(out)), out)
 
 
 def digests(df: DataFrame) -> DataFrame:
