@@ -25,10 +25,10 @@ def _texts(documents: DataFrame, ids: DataFrame, bound: int) -> list[str]:
     return [r.text or "" for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
-def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, bound: int) -> dict[int, list[str]]:
-    """For the label's values 0 and 1, at most bound texts each of rows that are not held out."""
+def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, bound: int, values: tuple[int, ...] = (0, 1)) -> dict[int, list[str]]:
+    """For each of the label's values, at most bound texts each of rows that are not held out."""
     learn = labels.where(~held_out())
-    return {v: _texts(documents, _ids(learn.where(F.col(label) == v), bound), bound) for v in (0, 1)}
+    return {v: _texts(documents, _ids(learn.where(F.col(label) == v), bound), bound) for v in values}
 
 
 def unlabelled_texts(documents: DataFrame, labels: DataFrame, bound: int) -> list[str]:
