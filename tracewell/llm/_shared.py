@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tracewell.sources.storage import materialise, shared_dir  # noqa: F401
+
 #: Rows that Spark puts into one Arrow batch: texts can be long, so batches are short.
 BATCH_ROWS = 128
-#: Taken only where spark.checkpoint.dir is unset, as in local tests.
-LOCAL_SHARED = "/tmp/checkpoints/tracewell"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,19 +21,6 @@ def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df without columns whose names clash with names in any case."""
     taken = {n.lower() for n in names}

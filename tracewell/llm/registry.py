@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewell.llm import op01_bpe, op02_toxicity, op03_telephony, op04_quality, op05_licenses, op06_substring, op08_chat
+from tracewell.llm import op01_bpe, op02_toxicity, op03_telephony, op04_quality, op05_licenses, op06_substring, op08_chat, op10_minhash
 
-MODULES = (op01_bpe, op02_toxicity, op03_telephony, op04_quality, op05_licenses, op06_substring, op08_chat)
+MODULES = (op01_bpe, op02_toxicity, op03_telephony, op04_quality, op05_licenses, op06_substring, op08_chat, op10_minhash)
 
 
 def queries() -> dict:
