@@ -80,11 +80,13 @@ def exponent(share: DataFrame, entropy: float | None = None, most_repeats: float
     return high
 
 
-def mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", entropy: float | None = None, most_repeats: float | None = MOST_REPEATS, budget: int | None = None, block_docs: int = BLOCK_DOCS, seed: int = SEED) -> DataFrame:
-    """df's rows as the mix takes them, with n_tokens long, epoch int, block int and place long (a random order of the mix)."""
-    base = _shared.without(df, ADDED)
-    columns = base.columns
-    tokens = df.select(*[f"`{c}`" for c in columns], F.col(source).alias("_source"), word_count(F.col(text)).alias("n_tokens"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("_hash"))
+def mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", entropy: float | None = None, most_repeats: float | None = MOST_REPEATS, budget: int | None = None, block_docs: int = BLOCK_DOCS, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
+    """df's rows as the mix takes them, with n_tokens long, epoch int, block int and place long (a random order of the mix).
+
+    keep: the columns to return, all of df's if None. Rows are counted once and written with these columns for the later steps.
+    """
+    columns = _shared.without(df, ADDED).columns if keep is None else keep
+    tokens = _shared.materialise(df.select(*[f"`{c}`" for c in columns], F.col(source).alias("_source"), word_count(F.col(text)).alias("n_tokens"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("_hash"), F.col(key).alias("_key")), "tokens")
     share = _shared.materialise(shares(tokens.select("_source", "n_tokens")), "shares")
     t = exponent(share, entropy, most_repeats)
     weight = F.when(F.col("share") > 0, F.pow("share", F.lit(t))).otherwise(0.0)
@@ -114,7 +116,7 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "d
     names = [*[f"`{c}`" for c in columns], "n_tokens", "_source", "_hash", "block"]
     last = dealt.join(cut, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
     taken = last.where("fits").select(*names, F.col("whole").alias("epoch"))
-    inside = Window.partitionBy("_source", "block").orderBy(order(F.col("whole"), "_hash"), "_hash", F.col(key))
+    inside = Window.partitionBy("_source", "block").orderBy(order(F.col("whole"), "_hash"), "_hash", "_key")
     so_far = F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     broken = last.where("not fits").withColumn("_so_far", so_far).where("_so_far <= room").select(*names, F.col("whole").alias("epoch"))
     whole = dealt.where("whole > 0").select(*names, F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("epoch"))
@@ -125,7 +127,7 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "d
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: doc_id, source, n_tokens, epoch, block, place."""
-    return mix(_shared.table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "n_tokens", "epoch", "block", "place")
+    return mix(_shared.table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep=["doc_id", "source"])
 
 
 QUERIES = {"op7_mixing": op7_mixing}
