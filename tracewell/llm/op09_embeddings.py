@@ -33,8 +33,8 @@ THRESHOLD, SURE, SEED = 0.9, 6.0, 11
 #: Vectors that a cell is to hold, centres at most (a sample bounded by them is fitted), cells that a vector goes to, and the
 #: cosine from which one of two sampled centres is dropped.
 CELL, MOST_CENTRES, PROBES, APART = 400, 4096, 10, 0.6
-#: Rows of a block; a pair of blocks is one task.
-BLOCK = 2048
+#: Rows of a block; a pair of blocks is one task. Pairs of rows that are computed again at once.
+BLOCK, PAIRS = 2048, 20_000
 LAST_ID = (1 << 63) - 1
 
 
@@ -94,7 +94,7 @@ def _compare(threshold: float, turn: np.ndarray):
         u = units(x)
         bits, factors = codes(u @ turn)
         rows, cols = [], []
-        step = 1024
+        step = 256
         rest = np.arange(len(ids)) if same else np.arange(n, len(ids))
         q = (u @ turn)[rest]
         for s in range(0, n, step):
@@ -102,8 +102,8 @@ def _compare(threshold: float, turn: np.ndarray):
             i, j = i + s, rest[j]
             if same:
                 i, j = i[i < j], j[i < j]
-            for p in range(0, len(i), 100_000):
-                a, b = i[p:p + 100_000], j[p:p + 100_000]
+            for p in range(0, len(i), PAIRS):
+                a, b = i[p:p + PAIRS], j[p:p + PAIRS]
                 hit = np.einsum("ij,ij->i", u[a], u[b]) >= threshold
                 a, b = a[hit], b[hit]
                 early = ((cells[a][:, :, None] == cells[b][:, None, :]) & (cells[a][:, :, None] >= 0)).any((1, 2))
