@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.plans import layers
+from tracewell.plans import layers, text
 
-MODULES = (layers,)
+MODULES = (layers, text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
