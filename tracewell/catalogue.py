@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.plans import layers, text
+from tracewell.plans import anomalies, layers, text
 
-MODULES = (layers, text)
+MODULES = (layers, text, anomalies)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
