@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.plans import anomalies, layers, text
+from tracewell.plans import anomalies, layers, network, text
 
-MODULES = (layers, text, anomalies)
+MODULES = (layers, text, anomalies, network)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
