@@ -47,3 +47,14 @@ def map_columns(df: DataFrame, reads: list[str], fields: list[T.StructField], ma
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], *made], names=[*kept, *new])
 
     return source.mapInArrow(run, schema)
+
+
+def trim() -> None:
+    """Gives memory that a worker has freed back to the system: a worker lives on between tasks and stages."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass

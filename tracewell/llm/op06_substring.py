@@ -5,7 +5,7 @@ cut into non-overlapping blocks of (window + 1) // 2 words: any repeat of a whol
 the index; every rolling run of a block's length probes it. Where a probe of one document meets a block of another, the
 windows around the hit are compared by hash, and the windows that repeat add up to the maximal exact repeats.
 
-Documents are dealt to chunks of a few megabytes. A chunk sends the hashes of its probes and blocks to buckets (ranges of
+Documents are dealt to chunks of about a megabyte. A chunk sends the hashes of its probes and blocks to buckets (ranges of
 the hash) as packed arrays, each hash once, so a passage in every document costs a bucket one entry a chunk, never one a
 document; the bucket answers a chunk with one bit for each of its hashes. Windows go the same way, with the smallest
 document id of the chunk. No pair of documents is ever formed, no row is dropped or capped, and chunks and buckets are of
@@ -30,10 +30,10 @@ from tracewell.llm import _shared
 
 WINDOW = 13
 #: Bytes of text in a chunk, and hashes in a bucket, about.
-CHUNK_BYTES = 4 << 20
-BUCKET_HASHES = 4_000_000
+CHUNK_BYTES = 1 << 20
+BUCKET_HASHES = 2_000_000
 #: Words whose hash a worker remembers: only speed depends on it.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 LAST_ID = (1 << 63) - 1
 U = np.uint64
 BASES = (U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93))
@@ -161,10 +161,12 @@ def _opened(table: pa.Table, at: tuple[str, str, int]) -> Chunk:
 
 
 def _cells(bucket, chunk, keys, more) -> pa.Table:
+    _shared.trim()
     return pa.table({"bucket": pa.array(bucket, pa.int32()), "chunk": pa.array([chunk] * len(bucket), pa.int64()), "keys": pa.array(keys, pa.binary()), "more": pa.array(more, pa.binary())})
 
 
 def _answers(chunks, kind, bucket, bits) -> pa.Table:
+    _shared.trim()
     n = len(chunks)
     return pa.table({"chunk": pa.array(chunks, pa.int64()), "kind": pa.array([kind] * n, pa.int32()), "bucket": pa.array([bucket] * n, pa.int32()), "bits": pa.array(bits, pa.binary())})
 
@@ -280,6 +282,7 @@ def _remove(at, buckets: int, columns: list[str], schema: pa.Schema):
             "n_words": pa.array(c.lengths, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
             "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "removed_spans": pa.array(spans, schema.field("removed_spans").type),
         }
+        _shared.trim()
         return pa.table([*[table[x] for x in columns], *made.values()], schema=schema)
 
     return run
