@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from tracewell.llm import _shared
 
 #: Pieces whose ids a worker remembers, and pairs whose compatibility it does: only speed depends on them.
-MEMO_PIECES = 400_000
-MEMO_PAIRS = 1_000_000
+MEMO_PIECES = 300_000
+MEMO_PAIRS = 300_000
 #: The pre-tokenizer pattern of byte-level BPE files that have use_regex set (a fixed value of that format).
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -37,25 +37,40 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class Codec:
-    """Encoder and decoder for one tokenizer file of the byte-level kind."""
+class Vocabulary:
+    """The bytes of a tokenizer file's ids: all that decoding needs."""
 
     def __init__(self, path: str):
-        import ahocorasick
-        import regex
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, pre = spec["model"], spec["pre_tokenizer"]
-        if model["type"] != "BPE" or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"] or spec["normalizer"] or model.get("ignore_merges") or model.get("dropout"):
-            raise ValueError(f"{path} is not a plain byte-level BPE tokenizer")
         alphabet = byte_alphabet()
-        vocab: dict[str, int] = model["vocab"]
-        self.bytes_of = {i: bytes(alphabet[c] for c in t) for t, i in vocab.items() if all(c in alphabet for c in t)}
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         if any(a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"] for a in spec["added_tokens"]):
             raise ValueError("added tokens that take space or word borders are not supported")
+        self.bytes_of = {i: bytes(alphabet[c] for c in t) for t, i in spec["model"]["vocab"].items() if all(c in alphabet for c in t)}
         self.bytes_of |= {i: c.encode() for c, i in self.added.items()}
+        self._prepare(spec, path)
+
+    def _prepare(self, spec: dict, path: str) -> None:
+        """For what more a codec takes from the file."""
+
+    def decode(self, ids: Iterable[int]) -> str:
+        """The text of ids; bytes that are not UTF-8 become U+FFFD. An id outside the vocabulary adds nothing."""
+        known = self.bytes_of
+        return b"".join([known.get(i, b"") for i in ids]).decode("utf-8", "replace")
+
+
+class Codec(Vocabulary):
+    """Encoder and decoder for one tokenizer file of the byte-level kind."""
+
+    def _prepare(self, spec: dict, path: str) -> None:
+        import ahocorasick
+        import regex
+
+        model, pre = spec["model"], spec["pre_tokenizer"]
+        if model["type"] != "BPE" or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"] or spec["normalizer"] or model.get("ignore_merges") or model.get("dropout"):
+            raise ValueError(f"{path} is not a plain byte-level BPE tokenizer")
+        vocab: dict[str, int] = model["vocab"]
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces = regex.compile(BYTE_LEVEL_PATTERN).findall
 
@@ -151,20 +166,24 @@ class Codec:
                 out += [memo.get(p) or piece(p) for p in self.pieces(part)]
         return b"".join(out)
 
-    def decode(self, ids: Iterable[int]) -> str:
-        """The text of ids; bytes that are not UTF-8 become U+FFFD. An id outside the vocabulary adds nothing."""
-        known = self.bytes_of
-        return b"".join([known.get(i, b"") for i in ids]).decode("utf-8", "replace")
 
+_opened: dict[tuple[type, str], Vocabulary] = {}
 
-_codecs: dict[str, Codec] = {}
+
+def _of(kind: type, path: str):
+    """One for each Python worker, kind and file."""
+    if (kind, path) not in _opened:
+        _opened[kind, path] = kind(path)
+        _shared.trim()
+    return _opened[kind, path]
 
 
 def codec(path: str) -> Codec:
-    """One for each Python worker and file."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    return _of(Codec, path)
+
+
+def vocabulary(path: str) -> Vocabulary:
+    return _of(Vocabulary, path)
 
 
 def tokenizer_path(name: str) -> str:
@@ -192,7 +211,7 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "token_ids") -> DataFrame:
     """df with decoded_text string, from packed ids; null ids decode to the empty text."""
 
     def make():
-        c = codec(tokenizer_path(tokenizer))
+        c = vocabulary(tokenizer_path(tokenizer))
         return lambda packed: [pa.array([c.decode(np.frombuffer(p or b"", dtype="<u4").tolist()) for p in packed.to_pylist()], pa.string())]
 
     return _shared.map_columns(df, [ids], [T.StructField("decoded_text", T.StringType())], make)
