@@ -140,7 +140,7 @@ AUTH = """auth as (select src, dst, round(max(w), 6) as weight, min(relation) as
   confidence * case relation when 'REPORTS_TO' then 1.0 when 'HANDLER_OF' then 0.9 when 'RECRUITED_BY' then 0.7 else 0.4 end as w, relation from {} where relation <> 'ASSOCIATE_OF') group by 1, 2)"""
 THIN = "thin as (select * from v_rel where src % 7 = 0 and dst % 3 = 1)"
 SPAN = """chain as (select distinct dst as up, src as down from auth where relation in ('REPORTS_TO', 'HANDLER_OF', 'RECRUITED_BY') and src <> dst),
-below(id, low, depth) as (select up, down, 1 from chain union select id, down, depth + 1 from below join chain on low = up where depth < 12 and id <> down),
+below(id, low, depth) as (select up, down, 1 from chain union select id, down, depth + 1 from below join chain on low = up where depth < 50 and id <> down),
 least_depth as (select id, low, min(depth) as depth from below group by 1, 2), ids as (select src as id from auth union select dst from auth)"""
 
 
