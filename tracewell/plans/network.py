@@ -80,7 +80,9 @@ def players(s: SparkSession, d: str) -> DataFrame:
 
 def narrative(s: SparkSession, d: str) -> DataFrame:
     nodes, edges = L._hetero(s, d)
-    path = paths.shortest(edges, "P0", "P1", 6)
+    world = nodes.where("node_type = 'LOCATION'").select(F.col("id").alias("src"), F.lit("C0").alias("dst"), F.lit("PART_OF_CASE").alias("edge_type"))
+    edges = edges.unionByName(world)
+    path = paths.shortest(edges, "P3", "I1", 8)
     return paths.narrated(path, edges.withColumn("role", F.lit("")), nodes)
 
 
