@@ -218,6 +218,7 @@ def burners(sims: DataFrame, calls: DataFrame, owners: DataFrame, conf: Anomaly
 def as_findings(structured=None, layered=None, fanned=None, tripped=None, slept=None, burst=None, rotated=None) -> DataFrame:
     """Detector outputs as one table of findings, numbered by risk."""
     from tracewell.operators.ordering import numbered
+    from tracewell.sources.storage import materialise
 
     ids = lambda c, sep: F.split(c, sep)
     ev = lambda df, *c: F.struct(*[F.col(x) for x in c])
@@ -249,7 +250,7 @@ def as_findings(structured=None, layered=None, fanned=None, tripped=None, slept=
     for p in parts[1:]:
         out = out.unionByName(p)
     out = out.withColumn("_key", F.concat_ws("|", "pattern", F.array_join("entity_ids", ","), F.col("window_start").cast("string"), "evidence"))
-    return numbered(out, "risk_score", "_key", "_n").withColumn("finding_id", F.format_string("AN%05d", "_n")).drop("_key", "_n")
+    return numbered(materialise(out, "findings"), "risk_score", "_key", "_n").withColumn("finding_id", F.format_string("AN%05d", "_n")).drop("_key", "_n")
 
 
 def evaluate(findings: DataFrame, truth: DataFrame) -> DataFrame:

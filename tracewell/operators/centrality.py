@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tracewell.conf import KeyPlayer
 from tracewell.operators.iterate import components
-from tracewell.operators.ordering import numbered, percent_ranks
+from tracewell.operators.ordering import all_percent_ranks, numbered, percent_ranks
 from tracewell.sources.storage import materialise
 
 CONF = KeyPlayer()
@@ -326,8 +326,7 @@ def key_players(edges: DataFrame, metrics: DataFrame, community: DataFrame, cut:
     """Ranked nodes. metrics: id, degree, betweenness, eigenvector, pagerank, kcore (null outside the giant); cut: articulation ids;
     command: id, command_score, direct_subordinates, subordinate_span, hierarchy_depth; broker: id, broker_score."""
     df = metrics.join(cross_community_reach(edges, community), "id", "left")
-    for c in ("betweenness", "eigenvector", "pagerank", "degree", "kcore", "reach"):
-        df = percent_ranks(df, c, f"r_{c}")
+    df = all_percent_ranks(df, ["betweenness", "eigenvector", "pagerank", "degree", "kcore", "reach"])
     df = df.na.fill(0.0, [f"r_{c}" for c in ("betweenness", "eigenvector", "pagerank", "degree", "kcore", "reach")])
     kind = dict(df.dtypes)["id"]
     if command is None:
@@ -342,7 +341,7 @@ def key_players(edges: DataFrame, metrics: DataFrame, community: DataFrame, cut:
         "structural_score": F.round(structural, 4), "influence_score": F.round((1 - conf.command) * structural + conf.command * F.col("command_score"), 4),
         "broker_score": F.round(F.coalesce("_b", fallback), 4), "is_articulation_point": F.coalesce("_cut", F.lit(0)), "community": F.coalesce("community", F.lit(-1)).cast("long"),
     })
-    df = df.withColumn("inferred_role", inferred_role())
+    df = materialise(df.withColumn("inferred_role", inferred_role()), "players")
     return numbered(df, "influence_score", "id", "rank").select(
         "id", "rank", "influence_score", "structural_score", F.round("command_score", 4).alias("command_score"), "broker_score", "direct_subordinates", "subordinate_span", "hierarchy_depth",
         F.round("betweenness", 6).alias("betweenness"), F.round("eigenvector", 6).alias("eigenvector"), F.round("pagerank", 6).alias("pagerank"), "degree", "kcore", F.col("reach").alias("communities_touched"),

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.sources.storage import materialise
+
 BUCKETS = 64
 
 
@@ -32,6 +34,15 @@ def percent_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
     return df.join(ranks, F.col(value) == F.col("_v"), "left").drop("_v")
 
 
+def all_percent_ranks(df: DataFrame, values: list[str], key: str = "id") -> DataFrame:
+    """df with percent_ranks of each of values as r_<value>. df is written once: each rank reads it, so the plan stays linear."""
+    base = materialise(df, "ranked")
+    out = base
+    for c in values:
+        out = out.join(percent_ranks(base.select(key, c), c, f"r_{c}").select(key, f"r_{c}"), key)
+    return out
+
+
 def numbered(df: DataFrame, value: str, key: str, out: str) -> DataFrame:
     """df with its place from 1, the largest value first and ties by key."""
     ranks = value_ranks(df, value, descending=True).select(F.col("v").alias("_v"), "before")
