@@ -75,7 +75,7 @@ def metrics(s: SparkSession, d: str) -> DataFrame:
 def players(s: SparkSession, d: str) -> DataFrame:
     g = calls_graph(s, d)
     comm, between = C.communities(g), C.betweenness(C.inside(g, C.giant(g)))
-    return C.key_players(g, metrics(s, d), comm, C.articulation_points(g), command.scores(authority(s, d)), C.broker_scores(g, comm, between))
+    return C.key_players(g, metrics(s, d), comm, C.articulation_points(g), command.scores(thin_authority(s, d)), C.broker_scores(g, comm, between))
 
 
 def narrative(s: SparkSession, d: str) -> DataFrame:
