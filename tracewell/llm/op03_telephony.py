@@ -138,51 +138,59 @@ def chosen(payload: bytes) -> str:
     return CODECS[zlib.crc32(payload) % len(CODECS)]
 
 
+def _stored(texts: pa.Array, codec: str | None) -> list[pa.Array]:
+    """n_bytes and media of payloads."""
+    raw = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+    return [pa.array(map(len, raw), pa.int64()), pa.array([wav(codec or chosen(p), p) for p in map(padded, raw)], pa.binary())]
+
+
+def _read(files: pa.Array, pcm: bool) -> list[pa.Array]:
+    """payload, pcm, pcm_sha256 and feature of WAV files."""
+    read_back = [parsed(m) for m in files.to_pylist()]
+    payloads, sounds = [], [None] * len(read_back)
+    blocks = [np.frombuffer(d, np.uint8).reshape(-1, HEAD + UNIT) for c, d in read_back if c == "ima_adpcm"]
+    decoded = iter(np.split(adpcm_blocks(np.concatenate(blocks)), np.cumsum([len(b) for b in blocks])[:-1])) if blocks else iter(())
+    for i, (codec, data) in enumerate(read_back):
+        if codec == "ima_adpcm":
+            payloads.append(np.frombuffer(data, np.uint8).reshape(-1, HEAD + UNIT)[:, HEAD:].tobytes())
+            sounds[i] = next(decoded).ravel()
+        else:
+            payloads.append(data)
+            sounds[i] = TABLES[codec][np.frombuffer(data, np.uint8)]
+    wide = [resampled(s).astype("<i2").tobytes() for s in sounds]
+    return [
+        pa.array(payloads, pa.binary()), pa.array(wide if pcm else [None] * len(wide), pa.binary()),
+        pa.array([hashlib.sha256(w).hexdigest() for w in wide], pa.string()), pa.array([features(c, s) for (c, _), s in zip(read_back, sounds, strict=True)], pa.string()),
+    ]
+
+
+STORED = [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]
+READ = [T.StructField("payload", T.BinaryType()), T.StructField("pcm", T.BinaryType()), T.StructField("pcm_sha256", T.StringType()), T.StructField("feature", T.StringType())]
+
+
 def store(df: DataFrame, payload: str, codec: str | None = None) -> DataFrame:
-    """df with n_bytes long and media binary (a WAV file); codec: one of CODECS, or by content."""
+    """df with n_bytes long and media binary (a WAV file) in place of payload; codec: one of CODECS, or by content."""
+    return _shared.map_columns(df, [payload], STORED, lambda: lambda texts: _stored(texts, codec), drop=(payload,))
 
-    def make():
-        def f(texts):
-            raw = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
-            return [pa.array(map(len, raw), pa.int64()), pa.array([wav(codec or chosen(p), p) for p in map(padded, raw)], pa.binary())]
 
-        return f
+def read(df: DataFrame, media: str = "media", pcm: bool = True) -> DataFrame:
+    """df with payload binary, pcm binary (16 kHz, 16-bit samples; null if pcm is False), pcm_sha256 and feature."""
+    return _shared.map_columns(df, [media], READ, lambda: lambda files: _read(files, pcm))
 
-    return _shared.map_columns(df, [payload], [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())], make, drop=(payload,))
 
+def store_and_read(df: DataFrame, payload: str, codec: str | None = None, pcm: bool = True) -> DataFrame:
+    """read(store(df)) in one worker: the files go to Spark once and don't come back to be read."""
 
-def read(df: DataFrame, media: str = "media", pcm: bool = True) -> DataFrame:
-    """df with payload binary, pcm_wav binary (16 kHz, 16-bit, without header; null if pcm is False), pcm_sha256 and feature."""
-
-    def make():
-        def f(files):
-            read_back = [parsed(m) for m in files.to_pylist()]
-            payloads, sounds = [], [None] * len(read_back)
-            blocks = [np.frombuffer(d, np.uint8).reshape(-1, HEAD + UNIT) for c, d in read_back if c == "ima_adpcm"]
-            decoded = iter(np.split(adpcm_blocks(np.concatenate(blocks)), np.cumsum([len(b) for b in blocks])[:-1])) if blocks else iter(())
-            for i, (codec, data) in enumerate(read_back):
-                if codec == "ima_adpcm":
-                    payloads.append(np.frombuffer(data, np.uint8).reshape(-1, HEAD + UNIT)[:, HEAD:].tobytes())
-                    sounds[i] = next(decoded).ravel()
-                else:
-                    payloads.append(data)
-                    sounds[i] = TABLES[codec][np.frombuffer(data, np.uint8)]
-            wide = [resampled(s).astype("<i2").tobytes() for s in sounds]
-            return [
-                pa.array(payloads, pa.binary()), pa.array(wide if pcm else [None] * len(wide), pa.binary()),
-                pa.array([hashlib.sha256(w).hexdigest() for w in wide]), pa.array([features(c, s) for (c, _), s in zip(read_back, sounds, strict=True)]),
-            ]
-
-        return f
-
-    fields = [T.StructField("payload", T.BinaryType()), T.StructField("pcm", T.BinaryType()), T.StructField("pcm_sha256", T.StringType()), T.StructField("feature", T.StringType())]
-    return _shared.map_columns(df, [media], fields, make)
+    def f(texts: pa.Array) -> list[pa.Array]:
+        stored = _stored(texts, codec)
+        return stored + _read(stored[1], pcm)
+
+    return _shared.map_columns(df, [payload], STORED + READ, lambda: f, drop=(payload,))
 
 
 def digests(df: DataFrame) -> DataFrame:
-    stored = store(df.select("doc_id", "text"), "text")
     # the PCM itself is dropped before it leaves the worker: the query needs its digest alone
-    return read(stored, pcm=False).select(
+    return store_and_read(df.select("doc_id", "text"), "text", pcm=False).select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("payload", -UNIT, UNIT)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"), "feature", "pcm_sha256",
