@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.operators import centrality as C
 from tracewell.operators import command, evaluate, graph, links, paths
 from tracewell.operators.iterate import components
-from tracewell.operators.ordering import percent_ranks
+from tracewell.operators.ordering import numbered, percent_ranks
 from tracewell.plans import layers as L
 from tracewell.plans import views as V
 
@@ -103,7 +103,7 @@ QUERIES = {
     "cross_community_reach": lambda s, d: C.cross_community_reach(calls_graph(s, d), calls_graph(s, d).select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", (F.col("id") % 5).alias("community"))),
     "key_players": players,
     "ranked_by_broker": lambda s, d: C.ranked_by(players(s, d), "broker", 25),
-    "disruption": lambda s, d: C.disruption(sparse_graph(s, d), players(s, d)),
+    "disruption": lambda s, d: C.disruption(sparse_graph(s, d), numbered(C.betweenness(sparse_graph(s, d)), "betweenness", "id", "rank"), (1, 5, 10)),
     "community_profile": lambda s, d: C.community_profile(
         C.communities(calls_graph(s, d)), V.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("role"), F.col("c_mktsegment").alias("syndicate"), F.col("c_nationkey").alias("state"), F.col("c_acctbal").alias("risk")),
         V.table(s, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("crime")), C.betweenness(calls_graph(s, d))),
