@@ -75,7 +75,7 @@ def metrics(s: SparkSession, d: str) -> DataFrame:
 def players(s: SparkSession, d: str) -> DataFrame:
     g = calls_graph(s, d)
     comm, between = C.communities(g), C.betweenness(C.inside(g, C.giant(g)))
-    return C.key_players(g, metrics(s, d), comm, C.articulation_points(g), command.scores(thin_authority(s, d)), C.broker_scores(g, comm, between))
+    return C.key_players(g, metrics(s, d), comm, C.articulation_points(g), command.scores(authority(s, d)), C.broker_scores(g, comm, between))
 
 
 def narrative(s: SparkSession, d: str) -> DataFrame:
@@ -110,7 +110,7 @@ QUERIES = {
     "authority_edges": authority,
     "command_direct": lambda s, d: command.direct(authority(s, d)),
     "command_span": lambda s, d: command.span(thin_authority(s, d)),
-    "command_scores": lambda s, d: command.scores(thin_authority(s, d)),
+    "command_scores": lambda s, d: command.scores(authority(s, d)),
     "proposed_relations": lambda s, d: command.split_extracted(V.v_rel(s, d).select("src", "dst", "relation", F.lit(0.7).alias("confidence")), V.v_comm(s, d).select(F.col("caller").alias("src"), F.col("callee").alias("dst")))[1],
     "shortest_path": lambda s, d: paths.shortest(calls_graph(s, d).select(F.col("a").alias("src"), F.col("b").alias("dst")), 120, 149),
     "all_paths": lambda s, d: paths.all_paths(calls_graph(s, d).select(F.col("a").alias("src"), F.col("b").alias("dst")), 120, 149, 3, 8).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "length"),
