@@ -121,7 +121,7 @@ QUERIES = {
     "co_location_links": lambda s, d: links.co_location(places(s, d), rel_known(s, d)),
     "adamic_adar": lambda s, d: links.adamic_adar(calls_graph(s, d), top_n=400),
     "link_noisy_or": merged_links,
-    "link_recall": lambda s, d: links.evaluate(merged_links(s, d), places(s, d).where("person_a % 9 = 0").select("person_a", "person_b", F.col("place").alias("mechanism"))),
+    "link_recall": lambda s, d: links.evaluate(merged_links(s, d), places(s, d).select("person_a", "person_b", F.col("place").alias("mechanism"))),
     "rank_quality": lambda s, d: evaluate.rank_quality(V.table(s, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") + 1).alias("rank")), V.table(s, d, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("id"))),
     "ari_nmi": lambda s, d: evaluate.ari_nmi(V.table(s, d, "customer"), "c_mktsegment", "c_nationkey"),
     "dataset_checks": lambda s, d: evaluate.report([
