@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.sources.storage import materialise
+from tracewell.sources.storage import materialise, release
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -32,7 +32,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(below, "u")
         small = joined.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v").unionByName(below.select("u", F.col("m").alias("v"))).distinct()
-        current = materialise(small, "components")
+        after = materialise(small, "components")
+        release(current)
+        current = after
     else:
         raise RuntimeError("components did not settle")
     least = current.groupBy("u").agg(F.min("v").alias("m"))

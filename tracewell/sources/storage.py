@@ -6,13 +6,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Taken only where spark.checkpoint.dir is unset, as in local tests.
+#: Taken only where spark.checkpoint.dir is unset and driver and executors are one process, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints/tracewell"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder, from spark.checkpoint.dir."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    """The shared folder, from spark.checkpoint.dir; a machine-local default is taken by local masters alone."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master or 'this cluster'} share")
+    return LOCAL_SHARED
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -20,4 +26,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_table = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Removes the table behind what materialise returned; nothing may be read from it any more."""
+    path = df.__dict__.pop("_shared_table", None)
+    if path:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
