@@ -8,17 +8,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tracewell.sources.storage import materialise, shared_dir  # noqa: F401
+from tracewell.sources.storage import materialise, release, shared_dir  # noqa: F401
+
+#: Most rows and about the most bytes of one Arrow batch: texts can be long.
+BATCH_ROWS, BATCH_BYTES = 2048, 1 << 20
 
-#: Rows that Spark puts into one Arrow batch: texts can be long, so batches are short.
-BATCH_ROWS = 128
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker gets at once. A setting of the session, always the same one; Spark reads it when a plan runs."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:
@@ -27,13 +30,14 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select([f"`{c}`" for c in df.columns if c.lower() not in taken])
 
 
-def map_columns(df: DataFrame, reads: list[str], fields: list[T.StructField], make: Callable[[], Callable[..., list[pa.Array]]], drop: tuple[str, ...] = ()) -> DataFrame:
+def map_columns(df: DataFrame, reads: list[str], fields: list[T.StructField], make: Callable[[], Callable[..., list[pa.Array]]], drop: tuple[str, ...] = (), owner: str = "") -> DataFrame:
     """df with columns added batch by batch in Python workers.
 
     make() runs once a task and returns f(*arrays of reads) -> one Arrow array for each of fields. A column of df whose
-    name clashes with one of fields is replaced; columns in drop are read but not returned.
+    name clashes with one of fields is replaced; columns in drop are read but not returned. owner names the caches that f
+    keeps in the worker between tasks; those of others go.
     """
-    short_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
     new = [f.name for f in fields]
     kept = [c for c in without(df, [*new, *drop]).columns]
     carried = [c for c in dict.fromkeys([*kept, *reads])]
@@ -41,16 +45,35 @@ def map_columns(df: DataFrame, reads: list[str], fields: list[T.StructField], ma
     schema = T.StructType([*[source.schema[c] for c in kept], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(owner)
         f = make()
         for batch in batches:
             made = f(*[batch.column(batch.schema.get_field_index(c)) for c in reads])
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], *made], names=[*kept, *new])
+            del batch, made
+        del f
+        trim()
 
     return source.mapInArrow(run, schema)
 
 
+_residents: dict[str, Callable[[], None]] = {}
+
+
+def resident(owner: str, clear: Callable[[], None]) -> None:
+    """Tells how to drop the caches that an operator keeps in a worker."""
+    _residents[owner] = clear
+
+
+def enter(owner: str) -> None:
+    """A worker outlives stages: it keeps the caches of the operator that it works for, and drops those of all others."""
+    for name, clear in _residents.items():
+        if name != owner:
+            clear()
+
+
 def trim() -> None:
-    """Gives memory that a worker has freed back to the system: a worker lives on between tasks and stages."""
+    """Gives memory that a worker has freed back to the system."""
     import ctypes
 
     pa.default_memory_pool().release_unused()

@@ -12,20 +12,25 @@ input whose name clashes with an added one is replaced.
 
 from __future__ import annotations
 
+import hashlib
 import json
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.llm import _shared
 
-#: Pieces whose ids a worker remembers, and pairs whose compatibility it does: only speed depends on them.
-MEMO_PIECES = 300_000
-MEMO_PAIRS = 300_000
+#: Pieces (of at most 64 characters) and pairs in each of the two generations that a worker remembers: some 50 MB in all, and
+#: only speed depends on them.
+MEMO_PIECES = 110_000
+MEMO_PAIRS = 100_000
+#: Ids are below this, so that a pair of them is one number.
+MOST_IDS = 1 << 20
+NEVER = 1 << 60
 #: The pre-tokenizer pattern of byte-level BPE files that have use_regex set (a fixed value of that format).
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -74,52 +79,66 @@ class Codec(Vocabulary):
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces = regex.compile(BYTE_LEVEL_PATTERN).findall
 
-        self.born: dict[int, int] = {}  # token -> rank of the merge that makes it; bytes: -1
-        self.left: dict[int, int] = {}
-        self.right: dict[int, int] = {}
-        self.joins: dict[tuple[int, int], int] = {}
-        single = {i for t, i in vocab.items() if len(t) == 1}
-        self.born = dict.fromkeys(single, -1)
+        most = 1 + max([*vocab.values(), *self.added.values()])
+        if most > MOST_IDS:
+            raise ValueError(f"{path} has ids of {MOST_IDS} and more")
+        none = -2
+        self.born = array("i", [none]) * most  # token -> rank of the merge that makes it; bytes: -1
+        self.left = array("i", [none]) * most
+        self.right = array("i", [none]) * most
+        self.joins: dict[int, int] = {}
+        own = [i for t, i in vocab.items() if len(t) == 1]
+        for i in own:
+            self.born[i] = -1
         for rank, merge in enumerate(model["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             x, y, t = vocab[a], vocab[b], vocab[a + b]
-            if x not in self.born or y not in self.born or t in self.born:
+            if none in (self.born[x], self.born[y]) or self.born[t] != none:
                 raise ValueError("merges must build each token once, from tokens made before it")
             self.born[t], self.left[t], self.right[t] = rank, x, y
-            self.joins[x, y] = rank
+            self.joins[x << 20 | y] = rank
+            own.append(t)
         self.pairs: dict[int, bool] = {}
-        automaton = ahocorasick.Automaton()
-        own = sorted((i for i in self.born), key=self.born.__getitem__)
-        self.own: set[int] = set()
+        self.old_pairs: dict[int, bool] = {}
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        fits = bytearray(most)
+        self.size = bytearray(most) if max(map(len, self.bytes_of.values())) < 256 else array("i", [0]) * most
         for t in own:  # a token can be the result only if it encodes to itself
-            if t in single or (self.left[t] in self.own and self.right[t] in self.own and self.compatible(self.left[t], self.right[t], self.born[t])):
-                self.own.add(t)
+            x, y = self.left[t], self.right[t]
+            if x == none or (fits[x] and fits[y] and self.compatible(x, y, self.born[t])):
+                fits[t] = 1
                 b = self.bytes_of[t]
-                automaton.add_word(b.decode("latin-1"), (len(b), t))
+                self.size[t] = len(b)
+                automaton.add_word(b.decode("latin-1"), t)
         automaton.make_automaton()
         self.ends = automaton.iter
         self.memo: dict[str, bytes] = {}
+        self.old_memo: dict[str, bytes] = {}
 
-    def compatible(self, a: int, b: int, before: int = 1 << 60) -> bool:
+    def compatible(self, a: int, b: int, before: int = NEVER) -> bool:
         """Whether no merge of a rank under before joins across the border of a followed by b.
 
         Merges happen in the order of ranks. Walk up the right edge of a and the left edge of b as their merges happen; the
         two tokens at the border join if their merge comes before either grows. Of equal ranks the leftmost goes first.
         """
         key = a << 20 | b
-        if before == 1 << 60 and (known := self.pairs.get(key)) is not None:
-            return known
-        up_a, up_b = [a], [b]
-        while up_a[-1] in self.right:
-            up_a.append(self.right[up_a[-1]])
-        while up_b[-1] in self.left:
-            up_b.append(self.left[up_b[-1]])
-        i, j, never = len(up_a) - 1, len(up_b) - 1, 1 << 60
+        if before == NEVER:
+            if (known := self.pairs.get(key)) is not None:
+                return known
+            if (known := self.old_pairs.get(key)) is not None:
+                self._remember_pair(key, known)
+                return known
+        up_a, up_b, right, left, never = [a], [b], self.right, self.left, NEVER
+        while (x := right[up_a[-1]]) >= 0:
+            up_a.append(x)
+        while (x := left[up_b[-1]]) >= 0:
+            up_b.append(x)
+        i, j = len(up_a) - 1, len(up_b) - 1
         fits = True
         while True:
             grow_a = self.born[up_a[i - 1]] if i else never
             grow_b = self.born[up_b[j - 1]] if j else never
-            rank = self.joins.get((up_a[i], up_b[j]), never)
+            rank = self.joins.get(up_a[i] << 20 | up_b[j], never)
             if rank < before and rank < grow_a and rank <= grow_b:
                 fits = False
                 break
@@ -129,49 +148,60 @@ class Codec(Vocabulary):
                 i -= 1
             else:
                 j -= 1
-        if before == 1 << 60:
-            if len(self.pairs) >= MEMO_PAIRS:
-                self.pairs.clear()
-            self.pairs[key] = fits
+        if before == NEVER:
+            self._remember_pair(key, fits)
         return fits
 
+    def _remember_pair(self, key: int, fits: bool) -> None:
+        if len(self.pairs) >= MEMO_PAIRS:
+            self.old_pairs, self.pairs = self.pairs, {}
+        self.pairs[key] = fits
+
+    def _remember_piece(self, text: str, ids: bytes) -> None:
+        if len(self.memo) >= MEMO_PIECES:
+            self.old_memo, self.memo = self.memo, {}
+        self.memo[text] = ids
+
     def piece(self, text: str) -> bytes:
         """The ids of one piece as little-endian unsigned 32-bit integers."""
+        if known := self.old_memo.get(text):
+            self._remember_piece(text, known)
+            return known
         s = text.encode().decode("latin-1")
-        n = len(s)
-        last, back = [-1] * (n + 1), [0] * (n + 1)
-        for end, (length, t) in self.ends(s):
+        n, size = len(s), self.size
+        # a long piece's prefixes take four bytes each
+        last = [-1] * (n + 1) if n <= 64 else array("i", [-1]) * (n + 1)
+        for end, t in self.ends(s):
             end += 1
-            start = end - length
+            start = end - size[t]
             if last[end] < 0 and (start == 0 or (last[start] >= 0 and self.compatible(last[start], t))):
-                last[end], back[end] = t, start
-        ids, at = [], n
-        while at:
-            ids.append(last[at])
-            at = back[at]
+                last[end] = t
+        ids, at = array("i"), n
+        while at:  # the last token tells where the prefix before it ends
+            ids.append(t := last[at])
+            at -= size[t]
         out = np.array(ids[::-1], dtype="<u4").tobytes()
-        if len(self.memo) >= MEMO_PIECES:
-            self.memo.clear()
         if len(text) <= 64:
-            self.memo[text] = out
+            self._remember_piece(text, out)
         return out
 
     def encode(self, text: str) -> bytes:
-        memo, piece = self.memo, self.piece
+        piece = self.piece
         out: list[bytes] = []
         for k, part in enumerate(self.split_added.split(text) if self.split_added else [text]):
             if k % 2:
                 out.append(np.uint32(self.added[part]).astype("<u4").tobytes())
             else:
-                out += [memo.get(p) or piece(p) for p in self.pieces(part)]
+                out += [self.memo.get(p) or piece(p) for p in self.pieces(part)]
         return b"".join(out)
 
 
 _opened: dict[tuple[type, str], Vocabulary] = {}
+_shared.resident("bpe", _opened.clear)
 
 
 def _of(kind: type, path: str):
-    """One for each Python worker, kind and file."""
+    """One for each Python worker, kind and file, as long as the worker works for this operator."""
     if (kind, path) not in _opened:
         _opened[kind, path] = kind(path)
         _shared.trim()
@@ -192,6 +222,9 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+ENCODED = [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType())]
+
+
 def encode(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """df with n_tokens long and token_ids binary (little-endian unsigned 32-bit ids); tokenizer names a public file."""
 
@@ -204,7 +237,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
 
         return f
 
-    return _shared.map_columns(df, [text], [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType())], make)
+    return _shared.map_columns(df, [text], ENCODED, make, owner="bpe")
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "token_ids") -> DataFrame:
@@ -214,14 +247,33 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "token_ids") -> DataFrame:
         c = vocabulary(tokenizer_path(tokenizer))
         return lambda packed: [pa.array([c.decode(np.frombuffer(p or b"", dtype="<u4").tolist()) for p in packed.to_pylist()], pa.string())]
 
-    return _shared.map_columns(df, [ids], [T.StructField("decoded_text", T.StringType())], make)
+    return _shared.map_columns(df, [ids], [T.StructField("decoded_text", T.StringType())], make, owner="bpe")
+
+
+def encode_and_prove(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
+    """encode(df) with ids_sha256 and decoded_sha256 in place of the text: of the packed ids, and of the text decoded from them.
+
+    Encoding and decoding share one worker and one vocabulary, and the decoded text doesn't leave it.
+    """
+
+    def make():
+        c = codec(tokenizer_path(tokenizer))
+
+        def f(texts):
+            packed = [c.encode(t) if t else b"" for t in texts.to_pylist()]
+            decoded = (c.decode(np.frombuffer(p, dtype="<u4").tolist()).encode() for p in packed)
+            return [
+                pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary()),
+                pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()), pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string()),
+            ]
+
+        return f
+
+    return _shared.map_columns(df, [text], [*ENCODED, T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())], make, drop=(text,), owner="bpe")
 
 
 def digests(df: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
-    encoded = encode(df.select("doc_id", "text"), tokenizer).drop("text")
-    return decode(encoded, tokenizer).select(
-        "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded_text").cast("binary"), 256).alias("decoded_sha256")
-    )
+    return encode_and_prove(df.select("doc_id", "text"), tokenizer).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

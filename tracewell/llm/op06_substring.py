@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ WINDOW = 13
 CHUNK_BYTES = 1 << 20
 BUCKET_HASHES = 2_000_000
 #: Words whose hash a worker remembers: only speed depends on it.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 LAST_ID = (1 << 63) - 1
 U = np.uint64
 BASES = (U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93))
@@ -51,7 +52,9 @@ class WordHashes(dict):
         return h
 
 
-_word_hash = WordHashes().__getitem__
+_known_words = WordHashes()
+_word_hash = _known_words.__getitem__
+_shared.resident("words", _known_words.clear)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -156,6 +159,7 @@ ANSWER = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("kind
 
 def _opened(table: pa.Table, at: tuple[str, str, int]) -> Chunk:
     """at: names of the id and the text, and the window."""
+    _shared.enter("words")
     ids = table[at[0]].cast(pa.int64()).fill_null(LAST_ID).to_numpy()
     return Chunk(table[at[1]].cast(pa.binary()).to_pylist(), ids, at[2])
 
@@ -264,20 +268,34 @@ def covered(c: Chunk, answers: pa.Table, buckets: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _remove(at, buckets: int, columns: list[str], schema: pa.Schema):
+def without_spans(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """A text without the words of spans and the white space that follows each of them; all else stays as it is."""
+    starts = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)] + [len(raw)]
+    kept, at = [], 0
+    for a, b in spans:
+        kept.append(raw[at:starts[a]])
+        at = starts[b]
+    return b"".join([*kept, raw[at:]])
+
+
+def _remove(at, buckets: int, columns: list[str], schema: pa.Schema, keep_layout: bool):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return schema.empty_table()
         c = _opened(table, at)
         gone = covered(c, answers, buckets)
         kept, removed, spans = [], [], []
-        for words, s, e in zip(c.words, c.starts, c.ends, strict=True):
+        for i, (words, s, e) in enumerate(zip(c.words, c.starts, c.ends, strict=True)):
             g = gone[s:e]
             n = int(g.sum())
             removed.append(n)
-            kept.append(b" ".join(itertools.compress(words, ~g) if n else words))
-            edges = np.flatnonzero(np.diff(np.r_[False, g, False])) if n else np.zeros(0, np.int64)
-            spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)])
+            edges = np.flatnonzero(np.diff(np.r_[False, g, False])).tolist() if n else []
+            own = list(zip(edges[::2], edges[1::2], strict=True))
+            spans.append([{"start": a, "end": b} for a, b in own])
+            if keep_layout:
+                kept.append(without_spans((table[at[1]][i].as_py() or "").encode(), own))
+            else:
+                kept.append(b" ".join(itertools.compress(words, ~g) if n else words))
         made = {
             "n_words": pa.array(c.lengths, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
             "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "removed_spans": pa.array(spans, schema.field("removed_spans").type),
@@ -288,14 +306,18 @@ def _remove(at, buckets: int, columns: list[str], schema: pa.Schema):
     return run
 
 
-def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, bucket_hashes: int = BUCKET_HASHES) -> DataFrame:
-    """df with n_words long, n_removed long, kept_text string and removed_spans array<struct<start, end>> (in words)."""
+def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, bucket_hashes: int = BUCKET_HASHES, keep_layout: bool = False) -> DataFrame:
+    """df with n_words long, n_removed long, kept_text string and removed_spans array<struct<start, end>> (in words).
+
+    kept_text: the kept words joined by one blank, or with keep_layout the text itself without the removed spans. doc_id must
+    be a column of integers.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     if window < 2:
         raise ValueError("a window has at least two words")
     spark = df.sparkSession
-    _shared.short_batches(spark, 4096)
+    _shared.bounded_batches(spark)
     size = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = max(math.ceil(size["bytes"] / chunk_bytes), min(parts, math.ceil(size["rows"] / 64)), 1)
@@ -312,7 +334,7 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int
     met = anchors.groupBy("bucket").applyInArrow(_meet_anchors, ANSWER)
     windows = dealt.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(_send_windows(at, buckets), CELL)
     answers = met.unionByName(windows.groupBy("bucket").applyInArrow(_meet_windows, ANSWER))
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(at, buckets, columns, to_arrow_schema(out)), out)
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(at, buckets, columns, to_arrow_schema(out), keep_layout), out)
 
 
 def digests(df: DataFrame) -> DataFrame:
