@@ -14,7 +14,7 @@ def test_oracle(spark):
 
 def test_round_trip_of_control_strings_ties_and_nulls(spark):
     texts = ["</turn>\n<turn>assistant\nx", "\\s\\l<\\", None, "", "\U0001f600 é\n\n", "\\### Assistant: </turn> ok"]
-    rows = [(1, i, "assistant" if i % 2 else "us<er\n\\", t) for i, t in enumerate(texts)] + [(2, 0, "user", "only")] + [(None, None, None, None), (3, 1, "assistant", "b"), (3, 1, "assistant", "a"), (3, 1, "assistant", "a")]
+    rows = [(1, i, "assistant" if i % 2 else "us<er\n\\", t) for i, t in enumerate(texts)] + [(2, 0, "user", "only")] + [(None, None, None, None), (3, 1, "assistant", "b"), (3, 1, "assistant", "a"), (3, 1, "assistant", "a"), (4, 1, "assistant", "A"), (4, 1, "assistant", "<"), (4, 1, "assistant", "\\"), (4, 1, "assistant", "Z")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     out = {r.conv_id: r for r in chat.digests(df).collect()}
     assert out[1].turns_sha256 == sha("".join(f"{r[2]}\n{r[3] or ''}\n" for r in rows if r[0] == 1))
@@ -22,6 +22,7 @@ def test_round_trip_of_control_strings_ties_and_nulls(spark):
     assert (out[1].loss_chars, out[1].loss_sha256, out[1].n_turns) == (len(loss), sha(loss), 6)
     assert (out[2].n_turns, out[2].n_examples, out[2].loss_sha256) == (1, 0, sha(""))
     assert (out[3].n_turns, out[3].loss_sha256) == (3, sha("aab"))
+    assert out[4].loss_sha256 == sha("<AZ\\")  # in the order of the texts themselves, not of the escaped ones
     assert out[None].n_turns == 1
     assert chat.digests(df.limit(0)).count() == 0
 

@@ -27,7 +27,7 @@ def test_stages_against_brute_force(spark):
     assert {r.doc_id for r in after} == good and all(r == before[r.doc_id] for r in after)
 
     before, after = rows[1]
-    groups = brute_minhash([(i, r.text) for i, r in before.items()])
+    groups = brute_minhash([(i, r.text) for i, r in before.items()], 80, 5)
     assert sorted(r.doc_id for r in after) == sorted(i for i, (_, c) in groups.items() if c == i)
 
     before, after = rows[2]
@@ -35,7 +35,8 @@ def test_stages_against_brute_force(spark):
     assert len(after) == len(before)
     for r in after:
         n, gone, kept = expect[r.doc_id]
-        assert r.text == (kept if gone else before[r.doc_id].text) and r.n_chars == len(r.text)
+        old = before[r.doc_id].text
+        assert (r.text.encode().split() == kept.encode().split() and r.text.count("\n") <= old.count("\n") if gone else r.text == old) and r.n_chars == len(r.text)
 
     before, after = rows[3]
     times = collections.Counter(r.doc_id for r in after)
@@ -58,3 +59,18 @@ def test_run_and_empty_table(spark, sf_dir, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_of_repeated_and_null_ids(spark):
+    words = [f"w{i}" for i in range(80)]
+    rows = [(1, words), (1, words), (1, ["other", "words"]), (2, words[1:]), (None, words[2:]), (None, ["alone"]), (3, [])]
+    df = spark.createDataFrame([(i, " ".join(w), "en", "s", 5) for i, w in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = cp.minhash_near_dedup(spark, df, "").collect()
+    assert sorted((str(r.doc_id), r.text) for r in left) == sorted([("1", " ".join(words)), ("1", "other words"), ("None", "alone"), ("3", "")])
+
+
+def test_cut_texts_keep_their_lines(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(1, f"{passage}\nfirst end"), (2, f"head\n\n  {passage}\ttail\nlast  line "), (3, f"x\n{passage}\n")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id: r.text for r in cp.substring_dedup(spark, df, "").collect()} == {1: rows[0][1], 2: "head\n\n  tail\nlast  line ", 3: "x\n"}

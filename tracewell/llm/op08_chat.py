@@ -5,8 +5,8 @@ texts are escaped so that no `<` of theirs remains: `\\` becomes `\\s`, `<` beco
 plain replacement undoes it. Every assistant turn is then exploded into an example of its own: the conversation up to the
 end of that turn, where only the reply's text is trainable.
 
-Results: turns are ordered by turn, role and text (nulls first), so ties and repeated rows have a fixed order and all stay;
-a null text or role is the empty one; a null conv_id is a conversation; a conversation without an assistant turn has a
+Results: turns are ordered by turn (null first), role and text as they are before escaping, so ties and repeated rows have a
+fixed order and all stay; a null text or role is the empty one; a null conv_id is a conversation; a conversation without an assistant turn has a
 formatted text and no example; an empty table gives no rows. Columns of the input besides the four are ignored. A
 conversation's text must fit into one row (2 GB), as its examples do.
 """
@@ -42,11 +42,8 @@ def format_conversations(df: DataFrame, target: str = TARGET) -> DataFrame:
 
     A target's text is formatted[loss_start:loss_end], its example formatted[0:end].
     """
-    turns = df.select(
-        "conv_id", "turn",
-        role_out(F.coalesce("role", F.lit(""))).alias("role"), escaped(F.coalesce("text", F.lit(""))).alias("text"),
-    )
-    ordered = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    raw = df.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
+    ordered = raw.select("conv_id", F.transform("turns", lambda t: F.struct(role_out(t.role).alias("role"), escaped(t.text).alias("text"))).alias("turns"))
     written = ordered.select(
         "conv_id",
         F.array_join(F.transform("turns", lambda t: F.concat(F.lit(OPEN), t.role, F.lit("\n"), t.text, F.lit(CLOSE))), "").alias("formatted"),
@@ -65,14 +62,15 @@ def format_conversations(df: DataFrame, target: str = TARGET) -> DataFrame:
 
 
 def expand_examples(formatted: DataFrame, keep_all: bool = False) -> DataFrame:
-    """One row for each assistant turn: conv_id, formatted, example (from 0), text (context and reply), loss_start, loss_end.
+    """One row for each assistant turn: conv_id, example (from 0), text (context and reply), loss_start, loss_end.
 
-    With keep_all, conversations without an assistant turn have a row too, with nulls.
+    With keep_all, conversations without an assistant turn have a row too, with nulls, and the first row of each
+    conversation carries it whole as formatted.
     """
     explode = F.posexplode_outer if keep_all else F.posexplode
-    return formatted.select("conv_id", "formatted", explode("targets").alias("example", "t")).select(
-        "conv_id", "formatted", "example", F.substr("formatted", F.lit(1), F.col("t.end")).alias("text"), "t.loss_start", "t.loss_end"
-    )
+    rows = formatted.select("conv_id", "formatted", explode("targets").alias("example", "t"))
+    whole = [F.when(F.coalesce("example", F.lit(0)) == 0, F.col("formatted")).alias("formatted")] if keep_all else []
+    return rows.select("conv_id", *whole, "example", F.substr("formatted", F.lit(1), F.col("t.end")).alias("text"), "t.loss_start", "t.loss_end")
 
 
 def read_turns(formatted: Column) -> Column:
@@ -89,7 +87,7 @@ def digests(df: DataFrame) -> DataFrame:
     examples = expand_examples(formatted, keep_all=True)
     loss = unescaped(F.substr("text", F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start")))
     per = examples.groupBy("conv_id").agg(
-        F.first("formatted").alias("formatted"), F.count("text").alias("n_examples"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("example_chars"),
+        F.max("formatted").alias("formatted"), F.count("text").alias("n_examples"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("example_chars"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("example", loss.alias("loss"))))), lambda x: x.loss), "").alias("loss"),
     )
     turns = read_turns(F.col("formatted"))
