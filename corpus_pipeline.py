@@ -23,16 +23,16 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the least id; documents without an id or words all stay."""
-    gone = op10_minhash.dedup(docs.select("doc_id", "text")).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the least id. Documents without words all stay."""
+    return op10_minhash.survivors(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of windows that an earlier one has; texts without such words stay as they are."""
-    cut = op06_substring.dedup(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return cut.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """Documents without the words of windows that an earlier one has; all else of a text stays as it is, line breaks too."""
+    cut = op06_substring.dedup(docs, keep_layout=True)
+    hit = F.col("n_removed") > 0
+    text = F.when(hit, F.col("kept_text")).otherwise(F.col("text"))
+    return cut.withColumn("text", text).withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +42,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, token_ids and the digests of the ids and of the text decoded from them."""
-    encoded = op01_bpe.encode(docs.select("doc_id", "source", "text"), TOKENIZER).drop("text")
-    return op01_bpe.decode(encoded, TOKENIZER).select(
-        "doc_id", "source", "n_tokens", "token_ids", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded_text").cast("binary"), 256).alias("decoded_sha256")
-    )
+    proved = op01_bpe.encode_and_prove(docs.select("doc_id", "source", "text"), TOKENIZER)
+    return proved.select("doc_id", "source", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
