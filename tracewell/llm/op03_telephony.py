@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 from tracewell.llm import _shared
 
 UNIT, HEAD, RATE = 64, 4, 8000
+#: Bytes of files, about, that are decoded at once.
+PIECE = 1 << 17
 #: WAV format tags of the telephony codecs.
 TAGS = {"alaw": 6, "mulaw": 7, "ima_adpcm": 17}
 CODECS = tuple(sorted(TAGS))
@@ -145,23 +147,35 @@ def _stored(texts: pa.Array, codec: str | None) -> list[pa.Array]:
 
 
 def _read(files: pa.Array, pcm: bool) -> list[pa.Array]:
-    """payload, pcm, pcm_sha256 and feature of WAV files."""
-    read_back = [parsed(m) for m in files.to_pylist()]
-    payloads, sounds = [], [None] * len(read_back)
-    blocks = [np.frombuffer(d, np.uint8).reshape(-1, HEAD + UNIT) for c, d in read_back if c == "ima_adpcm"]
-    decoded = iter(np.split(adpcm_blocks(np.concatenate(blocks)), np.cumsum([len(b) for b in blocks])[:-1])) if blocks else iter(())
-    for i, (codec, data) in enumerate(read_back):
-        if codec == "ima_adpcm":
-            payloads.append(np.frombuffer(data, np.uint8).reshape(-1, HEAD + UNIT)[:, HEAD:].tobytes())
-            sounds[i] = next(decoded).ravel()
-        else:
-            payloads.append(data)
-            sounds[i] = TABLES[codec][np.frombuffer(data, np.uint8)]
-    wide = [resampled(s).astype("<i2").tobytes() for s in sounds]
-    return [
-        pa.array(payloads, pa.binary()), pa.array(wide if pcm else [None] * len(wide), pa.binary()),
-        pa.array([hashlib.sha256(w).hexdigest() for w in wide], pa.string()), pa.array([features(c, s) for (c, _), s in zip(read_back, sounds, strict=True)], pa.string()),
-    ]
+    """payload, pcm, pcm_sha256 and feature of WAV files; memory follows one run of files of about a unit of PIECE bytes, or one long file."""
+    payloads, wides, digests, found = [], [], [], []
+    piece: list[tuple[str, bytes]] = []
+
+    def decoded() -> None:
+        blocks = [np.frombuffer(d, np.uint8).reshape(-1, HEAD + UNIT) for c, d in piece if c == "ima_adpcm"]
+        sounds = iter(np.split(adpcm_blocks(np.concatenate(blocks)), np.cumsum([len(b) for b in blocks])[:-1])) if blocks else iter(())
+        for codec, data in piece:
+            if codec == "ima_adpcm":
+                payloads.append(np.frombuffer(data, np.uint8).reshape(-1, HEAD + UNIT)[:, HEAD:].tobytes())
+                sound = next(sounds).ravel()
+            else:
+                payloads.append(data)
+                sound = TABLES[codec][np.frombuffer(data, np.uint8)]
+            wide = resampled(sound).astype("<i2").tobytes()
+            wides.append(wide if pcm else None)
+            digests.append(hashlib.sha256(wide).hexdigest())
+            found.append(features(codec, sound))
+        piece.clear()
+
+    size = 0
+    for media in files.to_pylist():
+        piece.append(parsed(media))
+        size += len(media)
+        if size >= PIECE:
+            decoded()
+            size = 0
+    decoded()
+    return [pa.array(payloads, pa.binary()), pa.array(wides, pa.binary()), pa.array(digests, pa.string()), pa.array(found, pa.string())]
 
 
 STORED = [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]
@@ -189,11 +203,11 @@ def store_and_read(df: DataFrame, payload: str, codec: str | None = None, pcm: b
 
 
 def digests(df: DataFrame) -> DataFrame:
-    # the PCM itself is dropped before it leaves the worker: the query needs its digest alone
-    return store_and_read(df.select("doc_id", "text"), "text", pcm=False).select(
+    """With the resampled PCM as a column, and the digest of what that column holds."""
+    return store_and_read(df.select("doc_id", "text"), "text").select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("payload", -UNIT, UNIT)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"), "feature", "pcm_sha256",
+        F.sha2("media", 256).alias("media_sha256"), "feature", F.octet_length("pcm").cast("long").alias("pcm_bytes"), "pcm_sha256", "pcm",
     )
 
 
