@@ -39,9 +39,24 @@ def test_held_out_accuracy(spark):
 def test_more_distinct_words_than_remembered(monkeypatch):
     net = tox.Network(3)
     text = " ".join(f"w{i}" for i in range(300)) + " the"
-    whole = tox.Scorer(net).raw([text])[0][0]
+    whole, language = (x[0] for x in tox.Scorer(net).raw([text]))
     monkeypatch.setattr(tox, "MEMO_WORDS", 64)
-    assert abs(tox.Scorer(net).raw(["a b", text, "c d"])[0][1] - whole) < 1e-3
+    raw, found = tox.Scorer(net).raw(["a b", text, "c d"])
+    assert abs(raw[1] - whole) < 1e-3 and found.tolist() == [len(tox.LANGUAGES), language, len(tox.LANGUAGES)] and language == tox.LANGUAGES.index("en")
+
+
+def test_query_rows_against_position_by_position(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    net = tox.fit(tox._labelled.labelled_texts(docs, labels, "toxic", tox.SAMPLE))
+    rows = {r.doc_id: r for r in tox.op2_toxicity(spark, sf_dir).collect()}
+    t = pq.read_table(f"{sf_dir}/documents.parquet").to_pydict()
+    for i, text in list(zip(t["doc_id"], t["text"], strict=True))[:80]:
+        words = tox.words_of(text)
+        count = [sum(w in tox.FUNCTION_WORDS[x].split() for w in words) for x in tox.LANGUAGES]
+        language = count.index(max(count)) if any(count) else len(count)
+        logit = naive(net, text) - net.thresholds[language] + np.log(0.7 / 0.3)
+        assert abs(rows[i].score - 1 / (1 + np.exp(-logit))) < 1e-3 and rows[i].predicted == (rows[i].score >= 0.7)
+        assert rows[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
 
 
 def test_nulls_repeats_clashes_and_no_labels(spark):

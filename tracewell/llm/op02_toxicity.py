@@ -32,7 +32,7 @@ SPREAD, LEFT_OUT = 0.01, 0.6
 LEAST_TEXTS = 2
 THRESHOLD = 0.7
 #: Words whose filter values a worker remembers: only speed depends on it.
-MEMO_WORDS = 150_000
+MEMO_WORDS = 100_000
 _WORD = re.compile(r"\w+").findall
 #: Common function words by language, to guess a text's language.
 FUNCTION_WORDS = {
@@ -191,6 +191,11 @@ def _thresholds(raw: np.ndarray, lang: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def _language(counts: np.ndarray) -> int:
+    """The language with the most function words; the last count is that of all other words."""
+    return int(counts[:-1].argmax()) if counts[:-1].any() else len(LANGUAGES)
+
+
 class Scorer(dict):
     """Word -> its row of filter values, kept for a worker's life up to MEMO_WORDS."""
 
@@ -218,7 +223,7 @@ class Scorer(dict):
                 self.new.clear()
                 if len(set(words)) > MEMO_WORDS:
                     logits.append(self._long(words))
-                    langs.append(len(LANGUAGES))
+                    langs.append(_language(np.bincount([_LANGUAGE_OF.get(w, len(LANGUAGES)) for w in words], minlength=len(LANGUAGES) + 1)))
                     continue
             index[:len(words)] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
             if self.new:
@@ -228,8 +233,7 @@ class Scorer(dict):
                 self.new.clear()
             pooled, _ = self.net.pooled(self.values, index, np.array([0]), None)
             logits.append(float(np.maximum(pooled[0], 0) @ self.net.out + self.net.shift[0]))
-            counts = np.bincount(self.language[index[:len(words)]], minlength=len(LANGUAGES) + 1)[:-1]
-            langs.append(int(counts.argmax()) if counts.any() else len(LANGUAGES))
+            langs.append(_language(np.bincount(self.language[index[:len(words)]], minlength=len(LANGUAGES) + 1)))
         return np.array(logits), np.array(langs, np.int64)
 
     def _long(self, words: list[str]) -> float:
