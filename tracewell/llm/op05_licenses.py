@@ -2,9 +2,14 @@
 
 Every rolling k-gram of a text's words is hashed and joined to the positions of that hash in the templates. A hit at word p
 of the text and position q of a template votes for the diagonal p - q: a verbatim occurrence puts all its votes on one
-diagonal, words put in or left out move the rest of the votes to a neighbouring one. Votes are counted by diagonal,
-neighbouring diagonals are merged, and a span is reported if it holds enough of the template. Hits are verified word by
-word, so a collision of hashes counts for nothing.
+diagonal, words put in or left out move the rest of the votes to a neighbouring one. Votes are counted by diagonal and
+neighbouring diagonals are merged. A merged span is then verified: its hits are walked in the order of the text, and a
+template position counts only if it comes after the last one that did; a span is reported if it so holds enough of the
+template within STRETCH times the template's length, from the first word that counts to the last. Hits are verified word by
+word as well, so a collision of hashes counts for nothing.
+
+Of a text's k-grams those whose hash is a template's go on to the join, with their own k words: what is sent on grows with
+the hits, not with the text.
 
 The table of template positions is broadcast. It holds literals of this module or of the caller, never the data, and more
 than MAX_POSITIONS of them are refused.
@@ -25,8 +30,8 @@ from tracewell.llm import _shared
 K = 3
 #: Neighbouring diagonals up to so many words apart are one span.
 APART = 3
-#: Least part of a template's k-grams in a span.
-COVERAGE = 0.7
+#: Least part of a template's k-grams in a span, and most words of a span against the template's.
+COVERAGE, STRETCH = 0.7, 2
 MAX_POSITIONS = 20_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -85,32 +90,35 @@ def scan(df: DataFrame, keys: list[str], text: str = "text", phrases=PHRASES, no
     carried = [F.col(c).alias(f"_key{i}") for i, c in enumerate(keys)]
     ids = [f"_key{i}" for i in range(len(keys))]
     rows = df.select(F.monotonically_increasing_id().alias("_row"), *carried, words_of(F.col(text)).alias("_words"))
-    grams = rows.select(
-        "_row", *ids, "_words", F.size("_words").cast("long").alias("n_words"),
-        # position 0 stands for the row itself; position p > 0 for the k-gram that starts at word p - 1
-        F.expr(f"posexplode(concat(array(cast(null as bigint)), if(size(_words) < {k}, array(), transform(sequence(0, size(_words) - {k}), i -> {hash_sql('_words', k, 'i')}))))").alias("_pos", "_hash"),
-    )
-    hits = grams.join(templates, F.col("_hash") == F.col("hash"), "left").where(
-        (F.col("_pos") == 0) | (F.slice("_words", F.greatest(F.col("_pos"), F.lit(1)), F.lit(k)) == F.col("gram"))
-    )
-    votes = hits.groupBy("_row", *ids, "n_words", "template", "label", "exact", "grams", (F.col("_pos") - 1 - F.col("at")).cast("long").alias("diagonal")).agg(
-        F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask")
-    )
+    known = ", ".join(str(r.hash) + "L" for r in template_positions(spark, phrases, notices, k).select("hash").distinct().collect())  # literals, at most MAX_POSITIONS
+    gram = hash_sql("_words", k, "i")
+    own_words = ", ".join(f"_words[x._pos + {j}]" for j in range(k))
+    # position -1 stands for the row itself; position p for the k-gram that starts at word p
+    found = f"if(size(_words) < {k}, array(), transform(filter(transform(sequence(0, size(_words) - {k}), i -> struct(i as _pos, {gram} as _hash)), x -> x._hash in ({known})), x -> struct(x._pos as _pos, x._hash as _hash, array({own_words}) as _gram)))"
+    # the words stay behind before the rows are multiplied
+    found = rows.select("_row", *ids, F.size("_words").cast("long").alias("n_words"), F.expr(f"concat(array(struct(-1 as _pos, cast(null as bigint) as _hash, cast(null as array<string>) as _gram)), {found})").alias("_found"))
+    grams = found.select("_row", *ids, "n_words", F.explode("_found").alias("_g")).select("_row", *ids, "n_words", "_g.*")
+    hits = grams.join(templates, F.col("_hash") == F.col("hash"), "left").where((F.col("_pos") < 0) | (F.col("_gram") == F.col("gram")))
+    hit = F.struct(F.col("_pos").cast("long").alias("pos"), F.col("at").cast("long").alias("at"))
+    votes = hits.groupBy("_row", *ids, "n_words", "template", "label", "exact", "grams", (F.col("_pos") - F.col("at")).cast("long").alias("diagonal")).agg(F.collect_set(hit).alias("hits"))
     line = Window.partitionBy("_row", "template").orderBy("diagonal")
     # a phrase has to lie on one diagonal; a notice's group ends where the next diagonal is further off
     opens = F.col("exact") | F.lag("diagonal").over(line).isNull() | (F.col("diagonal") - F.lag("diagonal").over(line) > apart)
     merged = (
         votes.withColumn("_group", F.sum(F.when(opens, 1).otherwise(0)).over(line.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("_row", *ids, "n_words", "template", "label", "exact", "grams", "_group")
-        .agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.bit_or("mask").alias("mask"))
-    )
-    held = F.bit_count("mask") / F.col("grams")
-    good = F.col("template").isNotNull() & F.when(F.col("exact"), held == 1).otherwise(held >= coverage)
-    span = F.struct(
-        F.greatest(F.col("low"), F.lit(0)).alias("first_word"), "template", "label", "exact",
-        F.least(F.col("high") + F.col("grams") + k - 2, F.col("n_words") - 1).alias("last_word"), held.alias("coverage"),
+        .agg(F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"))
     )
-    return merged.groupBy("_row", *ids, "n_words").agg(F.sort_array(F.collect_list(F.when(good, span))).alias("spans")).select(
+    # walked in the text's order: pos and at of the last hit that counts, where the first is, and how many
+    start = F.expr("struct(-1L as pos, -1L as at, -1L as first, 0L as n)")
+    counts = lambda s, h: (h.pos > s.pos) & (h.at > s.at)
+    step = lambda s, h: F.when(counts(s, h), F.struct(h.pos.alias("pos"), h.at.alias("at"), F.when(s.n == 0, h.pos).otherwise(s["first"]).alias("first"), (s.n + 1).alias("n"))).otherwise(s)
+    walked = merged.withColumn("_walk", F.when(F.col("template").isNotNull(), F.aggregate("hits", start, step)))
+    held = F.col("_walk.n") / F.col("grams")
+    words = F.col("_walk.pos") - F.col("_walk.first") + k
+    good = F.col("template").isNotNull() & F.when(F.col("exact"), held == 1).otherwise((held >= coverage) & (words <= STRETCH * (F.col("grams") + k - 1)))
+    span = F.struct(F.col("_walk.first").alias("first_word"), "template", "label", "exact", (F.col("_walk.pos") + k - 1).alias("last_word"), held.alias("coverage"))
+    return walked.groupBy("_row", *ids, "n_words").agg(F.sort_array(F.collect_list(F.when(good, span))).alias("spans")).select(
         *[F.col(i).alias(c) for i, c in zip(ids, keys, strict=True)], "n_words", "spans"
     )
 
