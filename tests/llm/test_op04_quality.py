@@ -38,7 +38,8 @@ def test_class_prior():
     rng = np.random.default_rng(1)
     p, n = rng.normal(2, 1, 4000), rng.normal(-2, 1, 4000)
     u = np.r_[p[2000:2000 + 600], n[:400]]
-    assert abs(q.class_prior(p[:2000], u) - 0.6) < 0.06
+    cuts = q.prior_cuts(p[:2000])
+    assert abs(q.class_prior(p[:2000], cuts, (u[:, None] >= cuts).sum(0), len(u)) - 0.6) < 0.06
 
 
 def test_held_out_accuracy(spark):
@@ -55,5 +56,27 @@ def test_nulls_repeats_clashes_and_no_labels(spark):
     labels = spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")
     assert [r.score for r in q.digests(docs, labels).collect()] == [1.0] * 5
     assert q.digests(docs.limit(0), labels.limit(0)).count() == 0
-    out = q.score(docs, q.fit(["good text here."] * 9, ["good text here."] * 5 + ["BAD!! BAD!!"] * 4)).collect()
+    x = lambda texts: np.array([q.features(t) for t in texts])
+    out = q.score(docs, q.fit(x(["good text here."] * 9), x(["good text here."] * 5 + ["BAD!! BAD!!"] * 4))).collect()
     assert out[0].quality == out[1].quality and out[2] == out[3]
+
+
+def test_query_rows_against_plain_numpy(spark, sf_dir):
+    """The same network from plain lists: samples by the same rule, the prior from every unlabelled text."""
+    t = pq.read_table(f"{sf_dir}/documents.parquet").to_pydict()
+    labels = pq.read_table(f"{sf_dir}/labels.parquet").to_pydict()
+    marked = dict(zip(labels["doc_id"], labels["quality"], strict=True))
+    x = {i: q.features(text).astype("<f4").astype(float) for i, text in zip(t["doc_id"], t["text"], strict=True)}
+    assert len(x) < q.UNLABELLED  # every row is in the samples
+    good = [x[i] for i in sorted(x) if marked.get(i) == 1 and zlib.crc32(str(i).encode()) % 3 != 1]
+    free = [x[i] for i in sorted(x) if i not in marked] or [x[i] for i in sorted(x)]
+    net = q.fit(np.array(good), np.array(free))
+    for r in q.op4_quality(spark, sf_dir).collect():
+        assert abs(r.score - net.scores(x[r.doc_id][None])[0]) < 1e-6 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_a_text_of_megabytes(spark):
+    text = "Plain words of a sentence, again. " * 100_000
+    df = spark.createDataFrame([(1, text), (2, "Plain words of a sentence, again. ")], "doc_id long, text string")
+    a, b = (np.frombuffer(r.features, "<f4") for r in q.described(df).orderBy("doc_id").collect())
+    assert np.allclose(a[:len(q._KINDS)], b[:len(q._KINDS)], atol=1e-2)

@@ -59,6 +59,48 @@ def test_documents(spark):
         assert max(own) - min(own) <= 1 and max(own) <= math.ceil(mixing.MOST_REPEATS)
 
 
+def check_order(rows, docs, block_docs):
+    """docs: (key, source); rows of a mix. Each epoch of a source orders its blocks anew, and the broken one takes the first."""
+    size = collections.Counter(s for _, s in docs)
+    of_block, orders = {}, collections.defaultdict(dict)
+    for r in rows:
+        assert of_block.setdefault((r.doc_id, r.source), r.block) == r.block and 0 <= r.block < max(1, math.ceil(size[r.source] / block_docs))
+        assert orders[r.source, r.epoch].setdefault(r.block, r.rank) == r.rank
+    last = {s: max(e for x, e in orders if x == s) for s, _ in orders}
+    for (s, e), order in orders.items():
+        assert sorted(order.values()) == list(range(len(order)))
+        whole = collections.Counter(r.doc_id for r in rows if r.source == s and r.epoch == e)
+        if e < last[s]:
+            assert sum(whole.values()) == size[s] and set(order) == {b for (_, x), b in of_block.items() if x == s}
+    for s in last:
+        many = [tuple(sorted(orders[s, e], key=orders[s, e].get)) for e in range(last[s])]
+        assert len(set(many)) == len(many) or not many or len(many[0]) < 5
+        cut = [r for r in rows if r.source == s and r.epoch == last[s]]
+        for b, rank in orders[s, last[s]].items():  # all of every block but the last
+            if rank < max(r.rank for r in cut):
+                assert {r.doc_id for r in cut if r.block == b} == {d for (d, x), y in of_block.items() if x == s and y == b}
+
+
+def test_blocks_are_ordered_anew_in_each_epoch(spark, monkeypatch):
+    docs = [(i, "big") for i in range(1500)] + [(5000 + i, "small") for i in range(260)] + [(9000 + i, None) for i in range(40)]
+    df = spark.createDataFrame([(i, s, "w " * (1 + i % 5)) for i, s in docs], "doc_id long, source string, text string")
+    rows = mixing.mix(df, block_docs=16).collect()
+    check_order(rows, docs, 16)
+    assert max(r.epoch for r in rows) >= 1
+    key = lambda r: tuple(map(str, r))
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 0)  # the way of many sources
+    assert sorted(mixing.mix(df, block_docs=16).collect(), key=key) == sorted(rows, key=key)
+
+
+def test_ranks_against_one_sort(spark):
+    rows = [(s, e, b, b * 7 % 11) for s in ("a", None) for e in range(3) for b in range(90)]
+    got = mixing.ranked(spark.createDataFrame(rows, "_source string, epoch int, block int, tokens long")).collect()
+    for s in ("a", None):
+        for e in range(3):
+            own = sorted((r for r in got if r["_source"] == s and r.epoch == e), key=lambda r: r["rank"])
+            assert [r["rank"] for r in own] == list(range(90)) and [r.before for r in own] == [sum(x.tokens for x in own[:k]) for k in range(90)]
+
+
 @pytest.mark.parametrize("budget", [0, 100, 5000])
 def test_budgets_hot_source_nulls_and_clashes(spark, budget):
     rows = [(i, "hot" if i % 3 else None, "w " * (i % 7), 5) for i in range(600)] + [(9999, "empty", None, 5), (1, "hot", "w w", 5), (1, "hot", "w w", 5)]

@@ -1,6 +1,8 @@
 import collections
 import hashlib
 
+import numpy as np
+
 import corpus_pipeline as cp
 from tests.llm.test_op01_bpe import PATH
 from tests.llm.test_op06_substring import brute as brute_substring
@@ -21,9 +23,11 @@ def test_stages_against_brute_force(spark):
     rows = [({r.doc_id: r for r in a.collect()}, b.collect()) for a, b in seen]
 
     before, after = rows[0]
-    net = op04_quality.learned(seen[0][0], spark.read.parquet(f"{d}/labels.parquet"))
+    described = op04_quality.described(seen[0][0].select("doc_id", "text"))
+    net = op04_quality.learned(described, spark.read.parquet(f"{d}/labels.parquet"))
     ids = list(before)
-    good = {i for i, s in zip(ids, net.scores([before[i].text for i in ids]), strict=True) if s >= 0.5}
+    x = np.array([op04_quality.features(before[i].text).astype("<f4") for i in ids], float)
+    good = {i for i, s in zip(ids, net.scores(x), strict=True) if s >= 0.5}
     assert {r.doc_id for r in after} == good and all(r == before[r.doc_id] for r in after)
 
     before, after = rows[1]

@@ -1,11 +1,11 @@
-"""Bounded samples of labelled and unlabelled documents for the classifiers, and the split that holds rows out."""
+"""Bounded samples of rows for the classifiers, and the split that holds rows out."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Texts longer than this many bytes are not sampled for fitting; scoring reads every text whole.
+#: Labelled texts longer than this many bytes are not collected for fitting; scoring reads every text whole.
 SAMPLE_TEXT_BYTES = 32_768
 
 
@@ -14,25 +14,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _ids(df: DataFrame, bound: int) -> DataFrame:
-    """At most bound ids, the first in the order of a hash: the same ones on every run."""
-    return df.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+def sampled(df: DataFrame, ids: DataFrame, bound: int, column: str) -> list:
+    """column of at most bound rows of df whose doc_id is in ids, the first in the order of a hash: the same ones on every run.
 
-
-def _texts(documents: DataFrame, ids: DataFrame, bound: int) -> list[str]:
-    short = documents.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_TEXT_BYTES)
-    rows = short.join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]).limit(bound).collect()  # bounded by ids
-    return [r.text or "" for r in sorted(rows, key=lambda r: r.doc_id)]
+    Rows that share an id give one, the least.
+    """
+    few = ids.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
+    few = few.join(df.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    rows = df.select("doc_id", F.col(column).alias("value")).join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("value").alias("value")).collect()  # bounded by few
+    return [r["value"] for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
 def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, bound: int, values: tuple[int, ...] = (0, 1)) -> dict[int, list[str]]:
-    """For each of the label's values, at most bound texts each of rows that are not held out."""
+    """For each of the label's values, at most bound texts each of rows that are not held out and of at most SAMPLE_TEXT_BYTES."""
     learn = labels.where(~held_out())
-    return {v: _texts(documents, _ids(learn.where(F.col(label) == v), bound), bound) for v in values}
-
-
-def unlabelled_texts(documents: DataFrame, labels: DataFrame, bound: int) -> list[str]:
-    """At most bound texts of documents that have no label; of all documents if every one has one."""
-    ids = documents.select("doc_id")
-    free = _texts(documents, _ids(ids.join(labels.select("doc_id"), "doc_id", "left_anti"), bound), bound)
-    return free or _texts(documents, _ids(ids, bound), bound)
+    short = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
+    return {v: sampled(short, learn.where(F.col(label) == v), bound, "text") for v in values}

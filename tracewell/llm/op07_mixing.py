@@ -4,13 +4,17 @@ Source i with share p_i of the tokens gets the weight p_i^t / sum p_j^t. The exp
 in [0, 1] (the flattest mix) that keeps the mix's entropy at or under a target or repeats no source more often than a limit
 allows. The weights are realised for a token budget: a source's documents are dealt to blocks, its blocks are put in a new
 random order for each pass over the source (an epoch), whole epochs take all documents, and the last, broken epoch takes
-blocks in its order until the budget is met, a document at a time in the block where it runs out.
+blocks in its order until the budget is met, a document at a time in the block where it runs out. A source is read by
+epoch, rank (of the block in that epoch's order) and place (in the block). Tokens are words here: the mix comes before the
+tokenizer.
 
 The default budget is the least one in which every source is read whole at least once, so nothing is left out and no
 source comes more than `most_repeats` times.
 
-A source may hold any part of the rows: shares come from partial sums, blocks have a bounded number of documents, and only
-blocks (one row each) and the documents of one block a source are put in order within a task.
+A source may hold any part of the rows: shares come from partial sums, blocks have a bounded number of documents, ranks and
+running sums of blocks come from buckets of their order (a bucket's total, then the order inside it), and a task puts one
+bucket's blocks or one block's documents in order. The plan by source is broadcast up to MOST_SOURCES of them; beyond, every
+source's row is dealt to SALTS keys.
 
 Results: a null source is a source of its own; null and empty texts have 0 tokens and are taken in every whole epoch; a
 source without tokens has weight 0 and is taken once; repeated rows each count; an empty table gives no rows; clashing
@@ -32,7 +36,11 @@ BLOCK_DOCS = 1024
 SEED = 17
 #: Each round of the search parts the interval into so many; rounds until it is shorter than 1e-9.
 PARTS, ROUNDS = 16, 8
-ADDED = ["n_tokens", "epoch", "block", "place"]
+#: Sources up to which their plan (a row each) is broadcast, and keys that a source has beyond.
+MOST_SOURCES, SALTS = 100_000, 64
+#: Leading bits of a block's order that make its bucket.
+BUCKET_BITS = 12
+ADDED = ["n_tokens", "epoch", "block", "rank", "place"]
 
 
 def word_count(text: Column) -> Column:
@@ -81,7 +89,7 @@ def exponent(share: DataFrame, entropy: float | None = None, most_repeats: float
 
 
 def mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", entropy: float | None = None, most_repeats: float | None = MOST_REPEATS, budget: int | None = None, block_docs: int = BLOCK_DOCS, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
-    """df's rows as the mix takes them, with n_tokens long, epoch int, block int and place long (a random order of the mix).
+    """df's rows as the mix takes them, with n_tokens long, epoch int, block int, rank long and place long.
 
     keep: the columns to return, all of df's if None. Rows are counted once and written with these columns for the later steps.
     """
@@ -101,32 +109,52 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "d
         F.col("_source").alias("_s"), F.floor(epochs).cast("int").alias("whole"), F.round((epochs - F.floor(epochs)) * F.col("tokens")).cast("long").alias("left"),
         F.greatest(F.ceil(F.col("docs") / block_docs), F.lit(1)).cast("long").alias("blocks"),
     )
-    dealt = tokens.join(plan, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("block", F.pmod(F.xxhash64("_hash"), F.col("blocks")).cast("int"))
-
-    # the broken epoch: blocks in its order, then the documents of the block in which the budget runs out
-    def order(epoch: Column, *parts: Column | str) -> Column:
-        return F.xxhash64(F.lit(seed + 1), epoch, *parts)
+    if share.count() <= MOST_SOURCES:
+        dealt = tokens.join(F.broadcast(plan), F.col("_source").eqNullSafe(F.col("_s")))
+    else:
+        salted = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = tokens.withColumn("_salt", F.pmod(F.xxhash64("_hash", F.lit("salt")), F.lit(SALTS)).cast("int")).join(salted.withColumnRenamed("_salt", "_k"), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_salt") == F.col("_k"))).drop("_salt", "_k")
+    dealt = dealt.drop("_s").withColumn("block", F.pmod(F.xxhash64("_hash"), F.col("blocks")).cast("int"))
 
     per_block = dealt.groupBy("_source", "block", "whole", "left").agg(F.sum("n_tokens").alias("tokens"))
-    line = Window.partitionBy("_source").orderBy(order(F.col("whole"), "_source", "block"), "block")
-    before = F.sum("tokens").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")
-    cut = per_block.withColumn("before", before).where("before < left").select(
-        F.col("_source").alias("_s"), F.col("block").alias("_b"), (F.col("left") - F.col("before")).alias("room"), (F.col("before") + F.col("tokens") <= F.col("left")).alias("fits")
-    )
+    ordered = _shared.materialise(ranked(per_block.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole")))), seed), "blocks")
+    # whole epochs take every block; the broken one blocks in its order, and of the one in which the budget runs out some documents
+    taken = ordered.where("epoch < whole or before < left").select(
+        F.col("_source").alias("_s"), F.col("block").alias("_b"), F.struct(
+            "epoch", "rank", F.when((F.col("epoch") == F.col("whole")) & (F.col("before") + F.col("tokens") > F.col("left")), F.col("left") - F.col("before")).alias("room")
+        ).alias("_take"),
+    ).groupBy("_s", "_b").agg(F.sort_array(F.collect_list("_take")).alias("_takes"))  # a few epochs of one block
+    taken = _shared.materialise(taken, "taken")  # a row a block: its size is known before the documents are joined
     names = [*[f"`{c}`" for c in columns], "n_tokens", "_source", "_hash", "block"]
-    last = dealt.join(cut, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
-    taken = last.where("fits").select(*names, F.col("whole").alias("epoch"))
-    inside = Window.partitionBy("_source", "block").orderBy(order(F.col("whole"), "_hash"), "_hash", "_key")
-    so_far = F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    broken = last.where("not fits").withColumn("_so_far", so_far).where("_so_far <= room").select(*names, F.col("whole").alias("epoch"))
-    whole = dealt.where("whole > 0").select(*names, F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("epoch"))
-    out = whole.unionByName(taken).unionByName(broken)
-    place = F.xxhash64(F.lit(seed + 2), "epoch", "_source", "block", "_hash")
-    return out.select(*[f"`{c}`" for c in columns], "n_tokens", "epoch", "block", place.alias("place"))
+    rows = dealt.join(taken, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b"))).select(*names, "_key", F.explode("_takes").alias("_take"))
+    rows = rows.select(*names, "_key", "_take.*").withColumn("place", F.xxhash64(F.lit(seed + 2), "epoch", "_hash"))
+    inside = Window.partitionBy("_source", "block").orderBy("place", "_hash", "_key").rowsBetween(Window.unboundedPreceding, 0)
+    broken = rows.where("room is not null").withColumn("_so_far", F.sum("n_tokens").over(inside)).where("_so_far <= room").drop("_so_far")
+    out = rows.where("room is null").unionByName(broken)
+    return out.select(*[f"`{c}`" for c in columns], "n_tokens", "epoch", "block", "rank", "place")
+
+
+def ranked(blocks: DataFrame, seed: int = SEED) -> DataFrame:
+    """blocks (_source, epoch, block, tokens and others) with rank (from 0) and before (tokens of lower ranks) in each epoch's order.
+
+    The order is by a hash; its leading bits make buckets. Only bucket totals of a source and epoch (at most 2**BUCKET_BITS
+    rows) and the blocks of one bucket are put in order within a task.
+    """
+    keys = ["_source", "epoch"]
+    hashed = blocks.withColumn("_order", F.xxhash64(F.lit(seed + 1), "epoch", "_source", "block")).withColumn("_bucket", F.shiftright("_order", 64 - BUCKET_BITS))
+    totals = hashed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"), F.sum("tokens").alias("_sum"))
+    lower = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(
+        F.col("_source").alias("_s"), F.col("epoch").alias("_e"), F.col("_bucket").alias("_c"), F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_rank"), F.coalesce(F.sum("_sum").over(lower), F.lit(0)).alias("_before"),
+    )
+    own = Window.partitionBy(*keys, "_bucket").orderBy("_order", "block")
+    placed = hashed.withColumn("rank", F.row_number().over(own) - 1).withColumn("before", F.sum("tokens").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens"))
+    joined = placed.join(totals, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("epoch") == F.col("_e")) & (F.col("_bucket") == F.col("_c")))
+    return joined.withColumn("rank", F.col("rank") + F.col("_rank")).withColumn("before", F.col("before") + F.col("_before")).drop("_order", "_bucket", "_s", "_e", "_c", "_rank", "_before")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: doc_id, source, n_tokens, epoch, block, place."""
+    """Each document as often as the mix takes it: doc_id, source, n_tokens, epoch, block, rank, place."""
     return mix(_shared.table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep=["doc_id", "source"])
 
 
