@@ -18,7 +18,8 @@ TOKENIZER = "byte_bpe_50k.json"
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier doesn't reject."""
-    net = op04_quality.learned(docs, _shared.table(spark, sf_dir, "labels"))
+    rows = _shared.materialise(op04_quality.described(docs.select("doc_id", "text")), "features")
+    net = op04_quality.learned(rows, _shared.table(spark, sf_dir, "labels"))
     return op04_quality.score(docs, net).where(F.col("quality") >= op04_quality.THRESHOLD).select(docs.columns)
 
 
