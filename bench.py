@@ -10,7 +10,7 @@ from tracewell import catalogue
 
 HEADLINE = (
     "layer_money_materiality layer_comm layer_intel_merge layer_co_event layer_co_place fused_graph hetero_edges graph_projection index_lists phonetic_key blocking_candidates jaro_winkler "
-    "structuring mule_fanout dormant_passthrough layering_chains burner_jaccard call_burst shared_vehicle_links adamic_adar components degree_strength clustering modularity ner_regex_entities search facets window_counts"
+    "structuring mule_fanout dormant_passthrough layering_chains burner_jaccard call_burst shared_vehicle_links adamic_adar round_trips components degree_strength clustering modularity pagerank eigenvector kcore betweenness louvain command_span command_scores link_noisy_or er_scored_pairs ner_regex_entities search facets window_counts"
 ).split()
 
 

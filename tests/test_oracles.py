@@ -5,7 +5,7 @@ from tracewell import catalogue
 
 QUERIES, ORACLES = catalogue.queries(), catalogue.oracle_sql()
 #: The whole ranking takes a minute; test_batch.py runs it on a few rows.
-LONG = {"key_players", "ranked_by_broker"}
+LONG = {"key_players", "ranked_by_broker", "disruption"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

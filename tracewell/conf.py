@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class Layers:
-    # What each evidence layer adds to a fused edge.
+    # What each evidence layer adds to a fused edge, and the layers' thresholds.
     weights: dict[str, float] = field(default_factory=lambda: {"intel": 1.00, "comm": 0.75, "money": 0.80, "co_event": 0.65, "co_place": 0.40})
     structural: tuple[str, ...] = ("intel", "comm", "money")
     strong_co_event: int = 2
@@ -40,6 +40,7 @@ class Resolution:
 
 @dataclass(frozen=True)
 class Anomaly:
+    # Thresholds of the detectors.
     thresholds: tuple[int, ...] = (50_000, 1_000_000)
     band: float = 0.12
     structuring_count: int = 5
@@ -71,6 +72,7 @@ class Anomaly:
 
 @dataclass(frozen=True)
 class KeyPlayer:
+    # Weights of the ranks, and sizes of the exact and the sampled betweenness.
     betweenness: float = 0.34
     eigenvector: float = 0.20
     pagerank: float = 0.14

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.conf import Anomaly
+from tracewell.operators.ordering import quantile
 
 CONF = Anomaly()
 HOUR = 3_600_000_000
@@ -62,7 +63,7 @@ def layering(tx: DataFrame, conf: Anomaly = CONF) -> DataFrame:
     A chain is maximal if no payment goes on from it; of equal paths the one with the earliest payments stays.
     """
     t = prepared(tx)
-    cut = t.agg(F.percentile("amount", F.lit(conf.layering_quantile)).alias("cut"))
+    cut = quantile(t, "amount", conf.layering_quantile, "cut")
     big = t.crossJoin(F.broadcast(cut)).where("amount >= cut").select("src", "dst", "ts", "_t", "amount")
     e = big.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.col("ts").alias("_ts"), F.col("_t").alias("_t2"), F.col("amount").alias("_amount"))
     chains = big.select(F.array("src", "dst").alias("path"), F.array(F.struct("ts", "amount")).alias("txns"), F.col("dst").alias("last"), F.col("_t").alias("t"), F.col("amount").alias("a"))
@@ -122,7 +123,7 @@ def round_trips(tx: DataFrame, conf: Anomaly = CONF) -> DataFrame:
     don't fit end early, so that only paths in order of time are followed.
     """
     t = prepared(tx)
-    cut = t.agg(F.percentile("amount", F.lit(conf.cycle_quantile)).alias("cut"))
+    cut = quantile(t, "amount", conf.cycle_quantile, "cut")
     big = t.crossJoin(F.broadcast(cut)).where("amount >= cut and src <> dst")
     e = big.groupBy("src", "dst").agg(F.sort_array(F.collect_list(F.struct("ts", "amount"))).alias("txns")).select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.col("txns").alias("_txns"))
     paths = e.select(F.array("_src", "_dst").alias("path"), F.array(F.col("_txns")[0]).alias("legs"))
@@ -156,9 +157,11 @@ def dormant(tx: DataFrame, conf: Anomaly = CONF) -> DataFrame:
     ).where(F.col("_own") & (F.col("dir") == "IN") & (F.col("amount") >= conf.dormant_amount) & F.col("passed").isNotNull())
     ratio = F.col("passed") / F.col("amount")
     kept = after.where(ratio >= conf.dormant_ratio)
-    # idle time before: a move at the same moment means none
-    w2 = Window.partitionBy("account").orderBy("_t")
-    distinct = moves.join(kept.select("account").distinct(), "account", "left_semi").groupBy("account", "_t").agg(F.count("*").alias("at_once")).select("account", "_t", "at_once", F.lag("_t").over(w2).alias("before"))
+    # idle time before: a move at the same moment means none. The move before is in the slice, or the last of the slice before
+    w2, slices = Window.partitionBy("account", "_slice").orderBy("_t"), Window.partitionBy("account").orderBy("_slice")
+    moments = moves.join(kept.select("account").distinct(), "account", "left_semi").groupBy("account", "_t").agg(F.count("*").alias("at_once")).withColumn("_slice", F.floor(F.col("_t") / length))
+    ends = moments.groupBy("account", "_slice").agg(F.max("_t").alias("_last")).select("account", "_slice", F.lag("_last").over(slices).alias("_earlier"))
+    distinct = moments.withColumn("_near", F.lag("_t").over(w2)).join(ends, ["account", "_slice"]).select("account", "_t", "at_once", F.coalesce("_near", "_earlier").alias("before"))
     idle = F.when(F.col("at_once") > 1, 0).otherwise(F.coalesce(F.floor((F.col("_t") - F.col("before")) / (24 * HOUR)), F.lit(0))).cast("int")
     return kept.join(distinct, ["account", "_t"]).select(
         "account", idle.alias("dormant_days"), (idle >= conf.dormant_days).alias("was_dormant"), F.col("amount").alias("inflow"), F.col("passed").alias("outflow"), F.round(ratio, 4).alias("passthrough_ratio"),
@@ -198,7 +201,7 @@ def burners(sims: DataFrame, calls: DataFrame, owners: DataFrame, conf: Anomaly
     pairs = x.join(y, "imei").where("r1 < r2")
     common = pairs.select("p1", "p2").distinct().join(contacts.select(F.col("phone").alias("p1"), F.col("contact")), "p1").join(contacts.select(F.col("phone").alias("p2"), F.col("contact").alias("other")), "p2")
     common = common.where(F.col("contact").eqNullSafe(F.col("other"))).groupBy("p1", "p2").agg(F.count("*").alias("shared"))
-    one = owners.groupBy("phone").agg(F.first("owner").alias("owner"))
+    one = owners.groupBy("phone").agg(F.min("owner").alias("owner"))
     df = pairs.join(common, ["p1", "p2"])
     for i in ("1", "2"):
         df = df.join(active.select(F.col("phone").alias(f"p{i}"), F.col("n").alias(f"n{i}"), F.col("first").alias(f"s{i}"), F.col("last").alias(f"e{i}")), f"p{i}")

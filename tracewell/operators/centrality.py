@@ -1,8 +1,8 @@
 """Centrality, communities and rankings of an undirected weighted graph: edges a, b, weight with a <> b, one row a pair.
 
 Sums over neighbours are joins and aggregations. Betweenness, articulation points and Louvain need a whole graph in memory:
-they run in Python workers on a compact copy that is refused beyond MAX_LOCAL_EDGES; beyond it, communities come from label
-propagation.
+they run on a copy that is refused beyond MAX_LOCAL_EDGES. Communities of larger graphs come from label propagation where the
+caller asks for it; no result depends on a graph's size. Loops that don't settle raise.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from tracewell.operators.ordering import all_percent_ranks, numbered, percent_ra
 from tracewell.sources.storage import materialise
 
 CONF = KeyPlayer()
-#: Edges of a graph that is copied to workers (about 16 bytes each).
-MAX_LOCAL_EDGES = 5_000_000
+#: Edges of a graph that is copied to the driver and to workers (some 200 bytes each, as Python lists).
+MAX_LOCAL_EDGES = 2_000_000
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -46,11 +46,11 @@ def inside(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(ids.select(F.col("id").alias("a")), "a", "left_semi").join(ids.select(F.col("id").alias("b")), "b", "left_semi")
 
 
-def pagerank(links: DataFrame, alpha: float = 0.85, iterations: int = 20, tolerance: float | None = 1e-6, directed: bool = False, nodes: DataFrame | None = None) -> DataFrame:
+def pagerank(links: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6, directed: bool = False, nodes: DataFrame | None = None) -> DataFrame:
     """id, pagerank of links src, dst, weight (directed) or edges a, b, weight. Rank of dead ends is dealt to all.
 
-    Each round joins ranks to links that are materialised once; iterations are bounded, and end early within tolerance
-    (None: never, for a fixed number of rounds).
+    Each round joins ranks to links that are materialised once. Rounds end when the ranks change by less than tolerance a node
+    (looked at every fourth round), and raise if they don't; with tolerance None there are just so many.
     """
     e = links.select("src", "dst", F.col("weight").cast("double").alias("weight")) if directed else both_ways(links).withColumn("weight", F.col("weight").cast("double"))
     e = e.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
@@ -64,17 +64,18 @@ def pagerank(links: DataFrame, alpha: float = 0.85, iterations: int = 20, tolera
         got = ranks.join(e, ranks.id == e.src).groupBy("dst").agg(F.sum(F.col("r") * F.col("share")).alias("got"))
         dead = ranks.agg(F.coalesce(F.sum(F.when(F.col("_out").isNull(), F.col("r"))), F.lit(0.0)).alias("dead"))
         new = ids.join(got, ids.id == got.dst, "left").crossJoin(F.broadcast(dead)).select("id", "_out", ((1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("dead") / n)).alias("r"))
-        new = materialise(new, "ranks") if k % 4 == 3 or tolerance is not None else new
-        if tolerance is not None:
+        new = materialise(new, "ranks") if k % 4 == 3 else new
+        if tolerance is not None and k % 4 == 3:
             change = new.join(ranks.select("id", F.col("r").alias("_r")), "id").agg(F.sum(F.abs(F.col("r") - F.col("_r")))).first()[0] or 0.0
-            ranks = new
-            if change < n * tolerance:
-                break
+            if change < max(n, 1) * tolerance:
+                return new.select("id", F.col("r").alias("pagerank"))
         ranks = new
+    if tolerance is not None:
+        raise RuntimeError(f"ranks did not settle in {iterations} rounds")
     return ranks.select("id", F.col("r").alias("pagerank"))
 
 
-def eigenvector(edges: DataFrame, iterations: int = 60, tolerance: float = 1e-8) -> DataFrame:
+def eigenvector(edges: DataFrame, iterations: int = 1000, tolerance: float = 1e-8) -> DataFrame:
     """id, eigenvector: the leading eigenvector of the weights, of length 1 (power iteration on A + I, which also settles on two-sided graphs)."""
     e = materialise(both_ways(edges).select("src", "dst", F.col("weight").cast("double").alias("weight")), "links")
     x = e.select(F.col("src").alias("id")).distinct().withColumn("x", F.lit(1.0))
@@ -86,13 +87,12 @@ def eigenvector(edges: DataFrame, iterations: int = 60, tolerance: float = 1e-8)
         if k % 4 == 3:
             y = materialise(y, "vector")
             if (y.agg(F.max(F.abs(F.col("y") - F.col("x")))).first()[0] or 0.0) < tolerance:
-                x = y.select("id", F.col("y").alias("x"))
-                break
+                return y.select("id", F.col("y").alias("eigenvector"))
         x = y.select("id", F.col("y").alias("x"))
-    return x.select("id", F.col("x").alias("eigenvector"))
+    raise RuntimeError(f"the eigenvector did not settle in {iterations} rounds")
 
 
-def kcore(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+def kcore(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """id, kcore: each node takes the h-index of its neighbours' numbers, from degrees on, until nothing changes.
 
     Neighbours' numbers are counted by value before they are put in order, so a hub's neighbours never meet one by one.
@@ -109,18 +109,23 @@ def kcore(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
         if not new.join(core.select("id", F.col("k").alias("_k")), "id").where("k <> _k").head(1):
             break
         core = new
+    else:
+        raise RuntimeError(f"core numbers did not settle in {most_rounds} rounds")
     return core.select("id", F.col("k").cast("long").alias("kcore"))
 
 
 def clustering(edges: DataFrame) -> DataFrame:
     """id, clustering: weighted by the geometric mean of a triangle's weights over the greatest weight."""
     top = edges.agg(F.max("weight").alias("top"))
-    e = edges.where("a <> b").crossJoin(F.broadcast(top)).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), (F.col("weight") / F.col("top")).alias("w"))
+    d = degrees(edges)
+    # nodes in the order of their degrees: of a hub's edges few start at it
+    corner = lambda c: d.select(F.col("id").alias(c), F.struct("degree", "id").alias(f"_{c}"))
+    e = edges.where("a <> b").crossJoin(F.broadcast(top)).join(corner("a"), "a").join(corner("b"), "b")
+    e = e.select(F.least("_a", "_b").alias("x"), F.greatest("_a", "_b").alias("y"), (F.col("weight") / F.col("top")).alias("w"))
     # a triangle is found once, from its least corner
     xy, xz, yz = e.select("x", "y", F.col("w").alias("w1")), e.select("x", F.col("y").alias("z"), F.col("w").alias("w2")), e.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("w").alias("w3"))
     t = xy.join(xz, "x").where("y < z").join(yz, ["y", "z"]).withColumn("g", F.cbrt(F.col("w1") * F.col("w2") * F.col("w3")))
-    per = t.select(F.explode(F.array("x", "y", "z")).alias("id"), "g").groupBy("id").agg(F.sum("g").alias("g"))
-    d = degrees(edges)
+    per = t.select(F.explode(F.array("x.id", "y.id", "z.id")).alias("id"), "g").groupBy("id").agg(F.sum("g").alias("g"))
     return d.join(per, "id", "left").select("id", F.when(F.col("degree") < 2, 0.0).otherwise(F.round(2 * F.coalesce("g", F.lit(0.0)) / (F.col("degree") * (F.col("degree") - 1)), 6)).alias("clustering"))
 
 
@@ -264,10 +269,12 @@ def _louvain(rows: list[tuple], resolution: float) -> dict:
         near = merged
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 20) -> DataFrame:
-    """id, community: numbered from 0, the largest first. Louvain in one memory, label propagation for graphs beyond it."""
-    kind = dict(edges.dtypes)["a"]
-    if edges.limit(MAX_LOCAL_EDGES + 1).count() <= MAX_LOCAL_EDGES:
+def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 20, method: str = "louvain") -> DataFrame:
+    """id, community: numbered from 0, the largest first. method: louvain (in one memory, refused beyond MAX_LOCAL_EDGES) or label_propagation."""
+    if method not in ("louvain", "label_propagation"):
+        raise ValueError(method)
+    if method == "louvain":
+        kind = dict(edges.dtypes)["a"]
         home = _louvain(_local(edges), resolution)
         groups: dict = defaultdict(list)
         for v, c in home.items():
@@ -278,7 +285,7 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 20) ->
 
 
 def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """id, label: each node takes the heaviest label around it (its own counts a little; the least of equal ones)."""
+    """id, label: each node takes the heaviest label around it (its own counts a little; the least of equal ones), for at most so many rounds: labels may swing for ever."""
     e = materialise(both_ways(edges), "links")
     labels = e.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id"))
     for _ in range(rounds):
@@ -351,6 +358,7 @@ def key_players(edges: DataFrame, metrics: DataFrame, community: DataFrame, cut:
 
 def inferred_role() -> Column:
     """A role from position alone: the first rule that holds."""
+    # Thresholds and names of the roles.
     direct, span, d, b = F.col("direct_subordinates"), F.col("subordinate_span"), F.col("r_degree"), F.col("r_betweenness")
     return (
         F.when((direct >= 2) & (span >= F.greatest(F.lit(8), 3 * direct)), "APEX / INSULATED CONTROLLER").when(direct >= 8, "CELL COMMANDER").when((span >= 4) & (d < 0.85), "CELL LEADER")

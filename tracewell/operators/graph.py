@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.conf import Layers
+from tracewell.operators.ordering import quantile
 
 CONF = Layers()
 
@@ -43,7 +44,7 @@ def money_layer(tx: DataFrame, pct: float = CONF.money_quantile) -> DataFrame:
         .groupBy("src", "dst")
         .agg(F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("total"), F.count("*").alias("n"))
     )
-    cut = pairs.agg(F.percentile("total", F.lit(pct)).alias("cutoff"))
+    cut = quantile(pairs, "total", pct, "cutoff")
     kept = pairs.crossJoin(F.broadcast(cut)).where((F.col("n") >= 2) | (F.col("total") >= F.col("cutoff")))
     top = kept.agg(F.max("total").alias("top"))
     return kept.crossJoin(F.broadcast(top)).select("src", "dst", "total", "n", F.round(F.log1p("total") / F.log1p("top"), 4).alias("weight"))

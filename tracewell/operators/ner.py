@@ -7,6 +7,7 @@ a worker. Linking, fuzzy matching and relations are joins.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -116,12 +117,19 @@ class Extractor:
         return S.py_normalize(text[start:end]) in self.g.names or any(w in self.g.tokens for w in words) or bool(self.trigger.search(text[max(0, start - 24):start]))
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
-        taken: list[tuple[int, int]] = []
+        starts: list[int] = []  # of claimed spans, in order; they don't overlap
+        ends: list[int] = []
         found = []
 
+        def free(s: int, e: int) -> bool:
+            at = bisect_left(starts, e)
+            return not at or ends[at - 1] <= s
+
         def claim(s: int, e: int, label: str) -> None:
-            if e > s and not any(s < y and e > x for x, y in taken):
-                taken.append((s, e))
+            if e > s and free(s, e):
+                at = bisect_left(starts, s)
+                starts.insert(at, s)
+                ends.insert(at, e)
                 if label not in SILENT:
                     found.append((s, e, label))
 
@@ -136,7 +144,7 @@ class Extractor:
             claim(m.start(1), self._trimmed_end(text, *m.span(1)), "ALIAS")
         for m in re.finditer(CANDIDATE, text):
             s, e = m.span(1)
-            if not any(s < y and e > x for x, y in taken):
+            if free(s, e):
                 e = self._trimmed_end(text, s, e)
                 if e > s and self._person(text, s, e):
                     claim(s, e, "PERSON")

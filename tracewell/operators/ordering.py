@@ -28,6 +28,14 @@ def value_ranks(df: DataFrame, value: str, descending: bool = False) -> DataFram
     return dealt.join(F.broadcast(sums), "_bucket").select("v", "n", (F.col("_ahead") + F.sum("n").over(line) - F.col("n")).alias("before"), "total")
 
 
+def quantile(df: DataFrame, value: str, q: float, out: str) -> DataFrame:
+    """One row: the exact q-quantile of a column, between the two values around it in proportion."""
+    at = (F.col("total") - 1) * F.lit(float(q))
+    holds = lambda i: F.when((F.col("before") <= i) & (F.col("before") + F.col("n") > i), F.col("v").cast("double"))
+    ends = value_ranks(df, value).agg(F.max(holds(F.floor(at))).alias("lo"), F.max(holds(F.ceil(at))).alias("hi"), F.max(at - F.floor(at)).alias("part"))
+    return ends.select(F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias(out))
+
+
 def percent_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
     """df with the average-tie rank of value between 0 and 1; a single row has 1, a null null."""
     ranks = value_ranks(df, value).select(F.col("v").alias("_v"), F.when(F.col("total") == 1, 1.0).otherwise((F.col("before") + (F.col("n") - 1) / 2) / (F.col("total") - 1)).alias(out))
@@ -44,7 +52,19 @@ def all_percent_ranks(df: DataFrame, values: list[str], key: str = "id") -> Data
 
 
 def numbered(df: DataFrame, value: str, key: str, out: str) -> DataFrame:
-    """df with its place from 1, the largest value first and ties by key."""
-    ranks = value_ranks(df, value, descending=True).select(F.col("v").alias("_v"), "before")
-    ties = Window.partitionBy("_v").orderBy(key)
-    return df.join(ranks, F.col(value) == F.col("_v")).withColumn(out, (F.col("before") + F.row_number().over(ties)).cast("long")).drop("_v", "before")
+    """df with its place from 1, the largest value first and ties by key.
+
+    Few values may hold most rows, so ties are dealt to buckets by key, and only a bucket's rows are put in order within a task.
+    """
+    base = df if "_shared_table" in df.__dict__ else materialise(df, "numbered")  # read four times
+    some = base.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(BUCKETS * 16).collect()  # a bounded sample: only how even buckets are depends on it
+    cuts = sorted({r[0] for r in some})
+    cuts = cuts[:: max(1, len(cuts) // BUCKETS)][1:]
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda b: b < F.col(key))) if cuts else F.lit(0)
+    ranks = value_ranks(base, value, descending=True).select(F.col("v").alias("_v"), "before")
+    dealt = base.where(F.col(value).isNotNull()).withColumn("_bucket", F.coalesce(bucket, F.lit(-1)))
+    lower = Window.partitionBy("_w").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS + 1 rows a value
+    sums = dealt.groupBy(F.col(value).alias("_w"), F.col("_bucket").alias("_c")).agg(F.count("*").alias("_n")).select("_w", "_c", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_ahead"))
+    own = Window.partitionBy(value, "_bucket").orderBy(key)
+    placed = dealt.withColumn("_row_in", F.row_number().over(own)).join(sums, (F.col(value) == F.col("_w")) & (F.col("_bucket") == F.col("_c"))).join(ranks, F.col(value) == F.col("_v"))
+    return placed.withColumn(out, (F.col("before") + F.col("_ahead") + F.col("_row_in")).cast("long")).drop("_v", "before", "_bucket", "_w", "_c", "_ahead", "_row_in")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewell.operators import anomaly as A
 from tracewell.plans import views as V
 
-CONF = replace(A.CONF, thresholds=(20_000, 50_000), structuring_days=240, layering_hops=2, layering_hours=720, cycle_hops=(3, 4), dormant_days=20, dormant_amount=45_000, dormant_hours=720)
+CONF = replace(A.CONF, thresholds=(20_000, 50_000), structuring_days=240, layering_hops=2, layering_hours=720, dormant_days=20, dormant_amount=45_000, dormant_hours=720)
 CALLS = replace(A.CONF, burst_calls=2, burst_ratio=3.0)
 SIMS = replace(A.CONF, burner_jaccard=0.06, burner_overlap=0.9)
 
@@ -19,7 +19,7 @@ def v_case(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Incidents: days of one kind of event, at the day's end; accused: users with that event on the day."""
     e = V.table(s, d, "events").where("event_type = 'purchase' or event_type = 'error'").select(F.date_trunc("day", "ts").alias("day"), "event_type", F.col("user_id").alias("person"))
     key = F.concat("event_type", F.lit(" "), F.date_format("day", "yyyy-MM-dd"))
-    accused = e.where("person < 60").select(key.alias("incident"), "person").distinct()
+    accused = e.select(key.alias("incident"), "person").distinct()
     return e.select(key.alias("incident"), F.expr("cast(day as timestamp_ntz) + interval 1 day").alias("ts")).distinct(), accused
 
 
@@ -78,7 +78,7 @@ cashed as (select g.src, count(distinct g.account) as cashed from targets g join
 TRIPS = BIG.format(q=0.85, more=" and src <> dst") + """, e as (select src, dst, list_sort(list({'ts': ts, 'amount': amount})) as txns from big group by 1, 2),
 paths as (select [src, dst] as path, [txns[1]] as legs, false as closed from e
   union all select case when dst = path[1] then path else list_append(path, dst) end, list_append(legs, list_filter(txns, lambda x: x.ts >= legs[-1].ts)[1]), dst = path[1]
-    from paths join e on src = path[-1] where not closed and len(path) <= 4 and len(list_filter(txns, lambda x: x.ts >= legs[-1].ts)) > 0 and ((dst = path[1] and len(path) >= 3) or (not list_contains(path, dst) and len(path) < 4))),
+    from paths join e on src = path[-1] where not closed and len(path) <= 6 and len(list_filter(txns, lambda x: x.ts >= legs[-1].ts)) > 0 and ((dst = path[1] and len(path) >= 3) or (not list_contains(path, dst) and len(path) < 6))),
 near as (select path, legs from paths where closed and abs(legs[-1].amount - legs[1].amount) / legs[1].amount <= 0.15),
 best as (select path, legs from near qualify row_number() over (partition by list_sort(path) order by legs[1].ts, path, legs) = 1)"""
 DORMANT = """moves as (select src as account, ts, amount, 'OUT' as dir from v_tx union all select dst, ts, amount, 'IN' from v_tx),
@@ -87,7 +87,7 @@ ins as (select account, ts, amount from moves where dir = 'IN' and amount >= 450
 passed as (select i.account, i.ts, i.amount, o.s as passed, o.e from ins i, lateral (select cast(sum(cast(amount as decimal(18,2))) as double) as s, max(ts) as e from moves m where m.account = i.account and m.dir = 'OUT' and m.ts > i.ts and m.ts <= i.ts + interval 720 hour) o where o.s / i.amount >= 0.7),
 idle as (select p.*, cast(case when at_once > 1 then 0 else coalesce(floor((epoch_us(p.ts) - epoch_us(before)) / 86400000000), 0) end as int) as days from passed p join moments m on m.account = p.account and m.ts = p.ts)"""
 CASES = """days as (select event_type || ' ' || strftime(date_trunc('day', ts), '%Y-%m-%d') as incident, date_trunc('day', ts) as day, user_id as person from events where event_type in ('purchase', 'error')),
-incidents as (select distinct incident, day::timestamp + interval 1 day as i from days), accused as (select distinct incident, person from days where person < 60),
+incidents as (select distinct incident, day::timestamp + interval 1 day as i from days), accused as (select distinct incident, person from days),
 groups as (select incident, count(*) as group_size from accused group by 1 having count(*) >= 2),
 n as (select incident, group_size, i as window_end, count(*) filter (c.ts between i - interval 48 hour and i) as k, count(*) as total from groups join incidents using (incident) join accused a using (incident) join accused b using (incident)
   join v_comm c on c.caller = a.person and c.callee = b.person group by 1, 2, 3)"""

@@ -38,8 +38,8 @@ def ego(s: SparkSession, d: str) -> DataFrame:
 def search(s: SparkSession, d: str) -> DataFrame:
     c = V.table(s, d, "customer")
     return serve.search(
-        "Customer#12", V.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.lit("").alias("alias")).where("id < 0"),
-        phones=c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("label")), vehicles=V.table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label")), orgs=c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("label")), limit=30)
+        "Customer#12", c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("label"), F.lit("").alias("alias")),
+        phones=c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("label")), vehicles=V.table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label")), orgs=c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("label")), limit=100_000)
 
 
 def dossier(s: SparkSession, d: str) -> DataFrame:
@@ -70,9 +70,10 @@ QUERIES = {
 ORACLES = {
     "co_mentions": """with w as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from documents), p as (select * from w where length(w) = 5 and w < 'b')
       select x.w as src, y.w as dst, 'CO_MENTIONED_WITH' as relation, true as symmetric, x.doc_id, 0.25::double as confidence from p x join p y on x.doc_id = y.doc_id and x.w < y.w""",
-    "search": """with h as (select 'phone' as kind, c_custkey::varchar as id, c_name as label, 0.9::double as score from customer where contains(c_name, '12')
+    "search": """with h as (select 'person' as kind, c_custkey::varchar as id, c_name as label, 0.95::double as score from customer where contains(regexp_replace(lower(c_name), '[^a-z]', '', 'g'), 'customer')
+      union all select 'phone' as kind, c_custkey::varchar as id, c_name as label, 0.9::double as score from customer where contains(c_name, '12')
       union all select 'vehicle', s_suppkey::varchar, s_name, 0.9 from supplier where contains(replace(upper(s_name), ' ', ''), 'CUSTOMER#12') union all select 'organization', c_custkey::varchar, c_name, 0.85 from customer where contains(lower(c_name), 'customer#12'))
-      select * from h order by score desc, kind, id limit 30""",
+      select * from h order by score desc, kind, id limit 100000""",
     "ego_network": V.sql("v_comm", L.COMM, "g as (select a as s, b as t from comm union select b, a from comm), one as (select t as id from g where s = 120), two as (select distinct t as id from one join g on s = id)",
         "select 120 as id, 0 as hop union all select id, 1 from one union all select id, 2 from two where id <> 120 and id not in (select id from one)"),
     "facets": V.sql(*L.GRAPH, "select value, count(*) as n from (select unnest(string_split(layers, '|')) as value from fused) group by 1"),

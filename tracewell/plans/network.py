@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.operators import centrality as C
 from tracewell.operators import command, evaluate, graph, links, paths
 from tracewell.operators.iterate import components
-from tracewell.operators.ordering import numbered, percent_ranks
+from tracewell.operators.ordering import percent_ranks
 from tracewell.plans import layers as L
 from tracewell.plans import views as V
 
@@ -61,14 +61,10 @@ def authority(s: SparkSession, d: str) -> DataFrame:
     return command.authority_edges(V.v_rel(s, d))
 
 
-def thin_authority(s: SparkSession, d: str) -> DataFrame:
-    return command.authority_edges(V.v_rel(s, d).where("src % 7 = 0 and dst % 3 = 1"))
-
-
 def metrics(s: SparkSession, d: str) -> DataFrame:
     g = calls_graph(s, d)
     big = C.inside(g, C.giant(g))
-    out = C.degrees(g).select("id", "degree").join(C.pagerank(g, tolerance=None), "id").join(C.kcore(g), "id")
+    out = C.degrees(g).select("id", "degree").join(C.pagerank(g, tolerance=1e-10), "id").join(C.kcore(g), "id")
     return out.join(C.betweenness(big), "id", "left").join(C.eigenvector(big).withColumn("eigenvector", F.round("eigenvector", 9)), "id", "left").withColumn("pagerank", F.round("pagerank", 12))
 
 
@@ -91,7 +87,7 @@ QUERIES = {
     "giant_component": lambda s, d: C.giant(sparse_graph(s, d)),
     "degree_strength": lambda s, d: C.degrees(calls_graph(s, d)),
     "percentile_rank_avg_ties": lambda s, d: percent_ranks(V.table(s, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("v")), "v", "r").select("l_partkey", "v", F.round("r", 6).alias("r")),
-    "pagerank": lambda s, d: C.pagerank(calls_graph(s, d), iterations=8, tolerance=None).select("id", F.round("pagerank", 8).alias("pagerank")),
+    "pagerank": lambda s, d: C.pagerank(calls_graph(s, d), tolerance=1e-13).select("id", F.round("pagerank", 8).alias("pagerank")),
     "eigenvector": lambda s, d: C.eigenvector(calls_graph(s, d)).select("id", F.round("eigenvector", 5).alias("eigenvector")),
     "kcore": lambda s, d: C.kcore(calls_graph(s, d)),
     "clustering": lambda s, d: C.clustering(calls_graph(s, d)),
@@ -103,20 +99,20 @@ QUERIES = {
     "cross_community_reach": lambda s, d: C.cross_community_reach(calls_graph(s, d), calls_graph(s, d).select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", (F.col("id") % 5).alias("community"))),
     "key_players": players,
     "ranked_by_broker": lambda s, d: C.ranked_by(players(s, d), "broker", 25),
-    "disruption": lambda s, d: C.disruption(sparse_graph(s, d), numbered(C.betweenness(sparse_graph(s, d)), "betweenness", "id", "rank"), (1, 5, 10)),
+    "disruption": lambda s, d: C.disruption(sparse_graph(s, d), players(s, d).select("id", "rank")),
     "community_profile": lambda s, d: C.community_profile(
         C.communities(calls_graph(s, d)), V.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("role"), F.col("c_mktsegment").alias("syndicate"), F.col("c_nationkey").alias("state"), F.col("c_acctbal").alias("risk")),
         V.table(s, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("crime")), C.betweenness(calls_graph(s, d))),
     "authority_edges": authority,
     "command_direct": lambda s, d: command.direct(authority(s, d)),
-    "command_span": lambda s, d: command.span(thin_authority(s, d)),
+    "command_span": lambda s, d: command.span(authority(s, d)),
     "command_scores": lambda s, d: command.scores(authority(s, d)),
     "proposed_relations": lambda s, d: command.split_extracted(V.v_rel(s, d).select("src", "dst", "relation", F.lit(0.7).alias("confidence")), V.v_comm(s, d).select(F.col("caller").alias("src"), F.col("callee").alias("dst")))[1],
     "shortest_path": lambda s, d: paths.shortest(calls_graph(s, d).select(F.col("a").alias("src"), F.col("b").alias("dst")), 120, 149),
     "all_paths": lambda s, d: paths.all_paths(calls_graph(s, d).select(F.col("a").alias("src"), F.col("b").alias("dst")), 120, 149, 3, 8).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "length"),
     "path_narrative": narrative,
     "shared_handset_links": lambda s, d: links.shared_handset(sims(s, d), rel_known(s, d)),
-    "shared_account_links": lambda s, d: links.shared_account(holders(s, d).where("account % 10 = 3"), known(s, d)),
+    "shared_account_links": lambda s, d: links.shared_account(holders(s, d), known(s, d)),
     "shared_vehicle_links": lambda s, d: links.shared_vehicle(*vehicles(s, d)),
     "co_location_links": lambda s, d: links.co_location(places(s, d), rel_known(s, d)),
     "adamic_adar": lambda s, d: links.adamic_adar(calls_graph(s, d), top_n=400),
@@ -140,10 +136,6 @@ PARITY = "comms as (select distinct src as id, src % 5 as community from both_g)
 AUTH = """auth as (select src, dst, round(max(w), 6) as weight, min(relation) as relation from (
   select case when relation in ('HANDLER_OF', 'RECRUITED_BY', 'SUPPLIES_TO') then dst else src end as src, case when relation in ('HANDLER_OF', 'RECRUITED_BY', 'SUPPLIES_TO') then src else dst end as dst,
   confidence * case relation when 'REPORTS_TO' then 1.0 when 'HANDLER_OF' then 0.9 when 'RECRUITED_BY' then 0.7 else 0.4 end as w, relation from {} where relation <> 'ASSOCIATE_OF') group by 1, 2)"""
-THIN = "thin as (select * from v_rel where src % 7 = 0 and dst % 3 = 1)"
-SPAN = """chain as (select distinct dst as up, src as down from auth where relation in ('REPORTS_TO', 'HANDLER_OF', 'RECRUITED_BY') and src <> dst),
-below(id, low, depth) as (select up, down, 1 from chain union select id, down, depth + 1 from below join chain on low = up where depth < 50 and id <> down),
-least_depth as (select id, low, min(depth) as depth from below group by 1, 2), ids as (select src as id from auth union select dst from auth)"""
 
 
 def _ranks(n: int) -> list[str]:
@@ -160,18 +152,17 @@ ORACLES = {
     "degree_strength": V.sql(*G, BOTH, "select src as id, count(*) as degree, round(cast(sum(cast(weight as decimal(20,8))) as double), 4) as weighted_degree from both_g group by 1"),
     "percentile_rank_avg_ties": """with v as (select l_partkey, count(*) as v from lineitem group by 1), r as (select *, rank() over (order by v) as lo, count(*) over (partition by v) as n, count(*) over () as total from v)
       select l_partkey, v, round(case when total = 1 then 1.0 else (lo - 1 + (n - 1) / 2) / (total - 1) end, 6) as r from r""",
-    "pagerank": V.sql(*G, BOTH, *_ranks(8), "select id, round(r, 8) as pagerank from r8"),
+    "pagerank": V.sql(*G, BOTH, *_ranks(40), "select id, round(r, 8) as pagerank from r40"),
     "clustering": V.sql(*G, BOTH, """top as (select max(weight) as m from comm), t as (select x.a as i, x.b as j, y.b as k, cbrt(x.weight / m * y.weight / m * z.weight / m) as g from comm x join comm y on y.a = x.a and y.b > x.b join comm z on z.a = x.b and z.b = y.b, top),
       per as (select id, sum(g) as g from (select i as id, g from t union all select j, g from t union all select k, g from t) group by 1), deg as (select src as id, count(*) as d from both_g group by 1)""", "select id, case when d < 2 then 0.0 else round(2 * coalesce(g, 0) / (d * (d - 1)), 6) end as clustering from deg left join per using (id)"),
     "modularity": V.sql(*G, BOTH, PARITY, """m as (select sum(weight) as m from comm), i as (select a % 5 as c, sum(weight) as l from comm where a % 5 = b % 5 group by 1), s as (select src % 5 as c, sum(weight) as d from both_g group by 1)""", "select round(sum(coalesce(l, 0) / m - pow(d / (2 * m), 2)), 6) as modularity from s left join i using (c), m"),
     "cross_community_reach": V.sql(*G, BOTH, "n as (select src as id, count(distinct case when dst % 5 <> src % 5 then dst % 5 end) as n from both_g group by 1)", "select id, round(n / (select max(n) from n), 6) as reach from n"),
     "authority_edges": V.sql("v_rel", AUTH.format("v_rel"), "select * from auth"),
     "command_direct": V.sql("v_rel", AUTH.format("v_rel"), "select id, count(src) as direct_subordinates, round(coalesce(cast(sum(cast(weight as decimal(20,8))) as double), 0), 6) as direct_weight from (select src as id from auth union select dst from auth) left join auth on dst = id group by 1"),
-    "command_span": V.sql("v_rel", THIN, AUTH.format("thin"), SPAN, "select id, count(low) as subordinate_span, coalesce(max(depth), 0) as hierarchy_depth from ids left join least_depth using (id) group by 1").replace("with", "with recursive", 1),
     "proposed_relations": V.sql("v_rel", "v_comm", "select src, dst, relation, 0.7::double as confidence, 'UNVERIFIED' as status, true as requires_human_verification from v_rel where not exists (select 1 from v_comm where (caller = src and callee = dst) or (caller = dst and callee = src))"),
     "shared_handset_links": V.sql("v_rel", KNOWN_REL, "sims as (select distinct l_partkey as imei, l_suppkey as p from lineitem where l_quantity = 50 and l_discount >= 0.08)",
         "select x.p as person_a, y.p as person_b, 'SHARED_HANDSET_IMEI' as mechanism, x.imei::varchar as evidence_id, 0.92::double as confidence, 'EVIDENTIAL' as finding_type, 'SIMs of two subscribers were used in handset ' || x.imei || '.' as description from sims x join sims y on x.imei = y.imei and x.p < y.p where not exists (select 1 from known where a = x.p and b = y.p)"),
-    "shared_account_links": V.sql("v_rel", "v_comm", "known as (select distinct least(caller, callee) as a, greatest(caller, callee) as b from v_comm), h as (select distinct dst as account, src as p from v_rel where dst % 10 = 3)",
+    "shared_account_links": V.sql("v_rel", "v_comm", "known as (select distinct least(caller, callee) as a, greatest(caller, callee) as b from v_comm), h as (select distinct dst as account, src as p from v_rel)",
         "select x.p as person_a, y.p as person_b, 'SHARED_BANK_ACCOUNT' as mechanism, x.account::varchar as evidence_id, 0.88::double as confidence, 'EVIDENTIAL' as finding_type, 'Both are recorded as controlling account ' || x.account || '.' as description from h x join h y on x.account = y.account and x.p < y.p where not exists (select 1 from known where a = x.p and b = y.p)"),
     "shared_vehicle_links": V.sql("""big as (select distinct l_partkey as v, l_orderkey as i, l_suppkey as p, o_orderpriority as st from lineitem join orders on l_orderkey = o_orderkey where l_quantity >= 45), seen as (select distinct v, i, st from big),
       fit as (select v, count(*) as n, count(distinct st) as states from seen group by 1 having count(*) between 2 and 8 and count(distinct st) >= 2), acc as (select distinct i, p from big),
