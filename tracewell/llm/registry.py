@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tracewell.llm import op01_bpe, op02_toxicity, op03_telephony, op04_quality, op05_licenses, op06_substring, op07_mixing, op08_chat, op09_embeddings, op10_minhash
+from tracewell.llm import op01_bpe, op02_toxicity, op03_telephony, op04_quality, op05_licenses, op06_substring, op07_mixing, op08_chat, op09_embeddings, op10_minhash, op11_warc, op12_divergence, op13_phrases
 
-MODULES = (op01_bpe, op02_toxicity, op03_telephony, op04_quality, op05_licenses, op06_substring, op07_mixing, op08_chat, op09_embeddings, op10_minhash)
+MODULES = (op01_bpe, op02_toxicity, op03_telephony, op04_quality, op05_licenses, op06_substring, op07_mixing, op08_chat, op09_embeddings, op10_minhash, op11_warc, op12_divergence, op13_phrases)
 
 
 def queries() -> dict:
