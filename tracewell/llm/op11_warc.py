@@ -94,15 +94,18 @@ def typed(pages: DataFrame, min_bytes: int) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).cast("long").alias("n_bytes"))
     place = [F.col("page_id").isNull().alias("no_id"), "page_id", F.col("url").isNull().alias("no_url"), "url"]
     alike = rows.where(F.col("n_bytes") >= min_bytes).groupBy("sha1", "n_bytes", "page_id", "url").agg(F.count("*").alias("copies"))
-    leads = alike.groupBy("sha1", "n_bytes").agg(F.min(F.struct(*place, "copies")).alias("lead"))
+    leads = _shared.materialise(alike.groupBy("sha1", "n_bytes").agg(F.min(F.struct(*place, "copies")).alias("lead")), "leads")
     is_lead = F.col("page_id").eqNullSafe(F.col("lead.page_id")) & F.col("url").eqNullSafe(F.col("lead.url"))
-    several = F.coalesce(F.col("lead.copies") > 1, F.lit(False))
     out = lambda df, kind: df.select("page_id", "url", "html", url_key(F.col("url")).alias("url_key"), "sha1", "n_bytes", kind.alias("record_type"), F.col("lead.page_id").alias("lead_id"), F.col("lead.url").alias("lead_url"))
+    kind = F.when(F.col("lead").isNull() | is_lead, "response").otherwise("revisit")
     joined = rows.join(leads, ["sha1", "n_bytes"], "left")
-    one = joined.where(~(is_lead & several) | F.col("lead").isNull())
-    # a response among rows that nothing tells apart: one of them, told off by number
-    same = rows.join(leads.where("lead.copies > 1"), ["sha1", "n_bytes"]).where(is_lead).dropDuplicates(["sha1", "n_bytes"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "lead.copies")))
-    return out(one, F.when(F.col("lead").isNull() | is_lead, "response").otherwise("revisit")).unionByName(out(same, F.when(F.col("copy") == 1, "response").otherwise("revisit")))
+    several = leads.where("lead.copies > 1")
+    if several.isEmpty():
+        return out(joined, kind)
+    # responses among rows that nothing tells apart: one of them, told off by number
+    one = joined.where(F.col("lead").isNull() | (F.col("lead.copies") == 1) | ~is_lead)
+    same = rows.join(several, ["sha1", "n_bytes"]).where(is_lead).dropDuplicates(["sha1", "n_bytes"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "lead.copies")))
+    return out(one, kind).unionByName(out(same, F.when(F.col("copy") == 1, "response").otherwise("revisit")))
 
 
 def plain(url: str | None) -> str | None:
