@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewell.conf import Anomaly
 from tracewell.operators.ordering import quantile
+from tracewell.operators.pairing import paired
 
 CONF = Anomaly()
 HOUR = 3_600_000_000
@@ -197,8 +198,7 @@ def burners(sims: DataFrame, calls: DataFrame, owners: DataFrame, conf: Anomaly
     contacts = calls.where("phone is not null").groupBy("phone", "contact").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
     active = contacts.groupBy("phone").agg(F.count("*").alias("n"), F.min("lo").alias("first"), F.max("hi").alias("last"))
     s = sims.where("imei is not null").groupBy("imei", "phone").agg(F.min("_row").alias("_row"))
-    x, y = s.select("imei", F.col("phone").alias("p1"), F.col("_row").alias("r1")), s.select("imei", F.col("phone").alias("p2"), F.col("_row").alias("r2"))
-    pairs = x.join(y, "imei").where("r1 < r2")
+    pairs = paired(s, ["imei"], "_row", ["phone"]).withColumnsRenamed({"a_phone": "p1", "b_phone": "p2"})
     common = pairs.select("p1", "p2").distinct().join(contacts.select(F.col("phone").alias("p1"), F.col("contact")), "p1").join(contacts.select(F.col("phone").alias("p2"), F.col("contact").alias("other")), "p2")
     common = common.where(F.col("contact").eqNullSafe(F.col("other"))).groupBy("p1", "p2").agg(F.count("*").alias("shared"))
     one = owners.groupBy("phone").agg(F.min("owner").alias("owner"))

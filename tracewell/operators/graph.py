@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.conf import Layers
 from tracewell.operators.ordering import quantile
+from tracewell.operators.pairing import paired
 
 CONF = Layers()
 
@@ -59,8 +60,7 @@ def undirected_money(money: DataFrame) -> DataFrame:
 def co_event_layer(participants: DataFrame) -> DataFrame:
     """Participants incident, person -> pairs with n_incidents and weight n/3 up to 1."""
     p = participants.where("incident is not null and person is not null").select("incident", "person").distinct()
-    left, right = p.select("incident", F.col("person").alias("a")), p.select("incident", F.col("person").alias("b"))
-    return left.join(right, "incident").where("a < b").groupBy("a", "b").agg(
+    return paired(p, ["incident"], "person").withColumnsRenamed({"a_person": "a", "b_person": "b"}).groupBy("a", "b").agg(
         F.count("*").alias("n_incidents"), _joined("incident", 10).alias("incident_ids"), F.round(F.least(F.lit(1.0), F.count("*") / 3), 4).alias("weight")
     )
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tracewell.conf import FUZZY_NAME
 from tracewell.functions import strings as S
+from tracewell.operators.pairing import paired
 
 # Patterns of the first tier, in order; labels in SILENT take their span and are not reported.
 PATTERNS = {
@@ -239,4 +240,4 @@ def relations(documents: DataFrame, linked: DataFrame, index: DataFrame) -> Data
 def co_mentions(linked: DataFrame) -> DataFrame:
     """Unordered pairs of persons of one document: weak evidence."""
     p = linked.where("label = 'PERSON' and entity_id <> ''").select("doc_id", "entity_id").distinct()
-    return p.withColumnRenamed("entity_id", "src").join(p.withColumnRenamed("entity_id", "dst"), "doc_id").where("src < dst").select("src", "dst", F.lit("CO_MENTIONED_WITH").alias("relation"), F.lit(True).alias("symmetric"), "doc_id", F.lit(0.25).alias("confidence"))
+    return paired(p, ["doc_id"], "entity_id").select(F.col("a_entity_id").alias("src"), F.col("b_entity_id").alias("dst"), F.lit("CO_MENTIONED_WITH").alias("relation"), F.lit(True).alias("symmetric"), "doc_id", F.lit(0.25).alias("confidence"))

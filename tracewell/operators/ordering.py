@@ -51,6 +51,19 @@ def all_percent_ranks(df: DataFrame, values: list[str], key: str = "id") -> Data
     return out
 
 
+def dense_numbers(ids: DataFrame, key: str, out: str) -> DataFrame:
+    """Distinct non-null values of key with numbers from 0 without gaps, in no order that means anything.
+
+    Values are dealt to buckets by hash, counted by bucket, and put in order within their bucket.
+    """
+    parts = 4 * int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = materialise(ids.where(F.col(key).isNotNull()).select(key).distinct().withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")), "ids")  # read twice
+    sums = base.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    before = sums.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"))  # a row a bucket
+    placed = base.join(F.broadcast(before), "_bucket").withColumn("_in", F.row_number().over(Window.partitionBy("_bucket").orderBy(key)))
+    return placed.select(key, (F.col("_before") + F.col("_in") - 1).alias(out))
+
+
 def numbered(df: DataFrame, value: str, key: str, out: str) -> DataFrame:
     """df with its place from 1, the largest value first and ties by key.
 

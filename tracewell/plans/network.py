@@ -49,7 +49,7 @@ def rel_known(s: SparkSession, d: str) -> DataFrame:
 
 def all_links(s: SparkSession, d: str) -> DataFrame:
     k = rel_known(s, d)
-    return links.shared_handset(sims(s, d), k).unionByName(links.shared_vehicle(*vehicles(s, d), k)).unionByName(links.co_location(places(s, d), k)).unionByName(links.common_associates(calls_graph(s, d), k))
+    return links.shared_handset(sims(s, d), k).unionByName(links.shared_account(holders(s, d), k)).unionByName(links.shared_vehicle(*vehicles(s, d), k)).unionByName(links.co_location(places(s, d), k)).unionByName(links.common_associates(calls_graph(s, d), k))
 
 
 def merged_links(s: SparkSession, d: str) -> DataFrame:
@@ -159,6 +159,9 @@ ORACLES = {
     "cross_community_reach": V.sql(*G, BOTH, "n as (select src as id, count(distinct case when dst % 5 <> src % 5 then dst % 5 end) as n from both_g group by 1)", "select id, round(n / (select max(n) from n), 6) as reach from n"),
     "authority_edges": V.sql("v_rel", AUTH.format("v_rel"), "select * from auth"),
     "command_direct": V.sql("v_rel", AUTH.format("v_rel"), "select id, count(src) as direct_subordinates, round(coalesce(cast(sum(cast(weight as decimal(20,8))) as double), 0), 6) as direct_weight from (select src as id from auth union select dst from auth) left join auth on dst = id group by 1"),
+    "command_span": V.sql("v_rel", AUTH.format("v_rel"), "chain as (select distinct dst as up, src as down from auth where relation in ('REPORTS_TO', 'HANDLER_OF', 'RECRUITED_BY') and src <> dst)",
+        "below(up, down, d) as (select up, down, 1 from chain union select b.up, c.down, b.d + 1 from below b join chain c on c.up = b.down where c.down <> b.up and b.d < 12)",
+        "least as (select up, down, min(d) as d from below group by 1, 2)", "select id, count(down) as subordinate_span, coalesce(max(d), 0)::bigint as hierarchy_depth from (select src as id from auth union select dst from auth) left join least on up = id group by 1").replace("with", "with recursive", 1),
     "proposed_relations": V.sql("v_rel", "v_comm", "select src, dst, relation, 0.7::double as confidence, 'UNVERIFIED' as status, true as requires_human_verification from v_rel where not exists (select 1 from v_comm where (caller = src and callee = dst) or (caller = dst and callee = src))"),
     "shared_handset_links": V.sql("v_rel", KNOWN_REL, "sims as (select distinct l_partkey as imei, l_suppkey as p from lineitem where l_quantity = 50 and l_discount >= 0.08)",
         "select x.p as person_a, y.p as person_b, 'SHARED_HANDSET_IMEI' as mechanism, x.imei::varchar as evidence_id, 0.92::double as confidence, 'EVIDENTIAL' as finding_type, 'SIMs of two subscribers were used in handset ' || x.imei || '.' as description from sims x join sims y on x.imei = y.imei and x.p < y.p where not exists (select 1 from known where a = x.p and b = y.p)"),
