@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.plans import anomalies, documents, layers, network, text
+from tracewell.plans import anomalies, audit, documents, layers, network, text
 
-MODULES = (layers, text, anomalies, network, documents)
+MODULES = (layers, text, anomalies, network, documents, audit)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

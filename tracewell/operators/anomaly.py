@@ -262,9 +262,10 @@ def evaluate(findings: DataFrame, truth: DataFrame) -> DataFrame:
     ids = f.select("pattern", F.explode(F.array_union("entity_ids", "person_ids")).alias("id"))
     shared = ids.where("pattern = 'SHARED_HANDSET'").withColumn("pattern", F.lit("BURNER_SIM_ROTATION"))
     ids = ids.unionByName(shared).distinct()
-    want = truth.withColumn("_t", F.monotonically_increasing_id()).select("_t", "pattern", F.explode_outer(F.filter(F.split(F.coalesce("entity_ids", F.lit("")), "\\|"), lambda x: x != "")).alias("id"))
-    hit = want.join(ids.withColumn("_hit", F.lit(1)), ["pattern", "id"], "left").groupBy("_t", "pattern").agg(F.max("_hit").alias("hit"))
+    rows = truth.groupBy("pattern", "entity_ids").agg(F.count("*").alias("n"))  # repeated truths count as often as they are there
+    want = rows.withColumn("id", F.explode_outer(F.filter(F.split(F.coalesce("entity_ids", F.lit("")), "\\|"), lambda x: x != "")))
+    hit = want.join(ids.withColumn("_hit", F.lit(1)), ["pattern", "id"], "left").groupBy("pattern", "entity_ids", "n").agg(F.max("_hit").alias("hit"))
     raised = f.select(F.when(F.col("pattern") == "SHARED_HANDSET", F.lit("BURNER_SIM_ROTATION")).otherwise(F.col("pattern")).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("findings_raised"))
-    per = hit.groupBy("pattern").agg(F.count("*").alias("planted"), F.count("hit").alias("detected")).join(raised, "pattern", "left").na.fill(0, ["findings_raised"])
+    per = hit.groupBy("pattern").agg(F.sum("n").alias("planted"), F.coalesce(F.sum(F.when(F.col("hit").isNotNull(), F.col("n"))), F.lit(0)).alias("detected")).join(raised, "pattern", "left").na.fill(0, ["findings_raised"])
     whole = per.agg(F.lit("_overall").alias("pattern"), F.sum("planted").alias("planted"), F.sum("detected").alias("detected")).crossJoin(f.agg(F.count("*").alias("findings_raised")))
     return per.unionByName(whole).select("pattern", "planted", "detected", F.round(F.coalesce(F.try_divide("detected", "planted"), F.lit(0.0)), 4).alias("recall"), "findings_raised")
