@@ -136,13 +136,14 @@ def with_vertex_attributes(vertices: DataFrame, persons: DataFrame, attributes:
 def hetero(nodes: dict[str, DataFrame], edges: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Nodes {type: id, label} and edges {type: src, dst} as (id, node_type, label) and (src, dst, edge_type).
 
-    Ids are text with their type's prefix given by the caller. An edge stays if both ends exist; repeats collapse.
+    Ids are text with their type's prefix given by the caller. An edge stays if both ends exist; repeats collapse. An id that
+    several rows have keeps the first type that has it, and that type's least label.
     """
     v = e = None
-    for kind, df in nodes.items():
-        part = df.select(F.col("id").cast("string").alias("id"), F.lit(kind).alias("node_type"), F.col("label").cast("string").alias("label"))
+    for order, (kind, df) in enumerate(nodes.items()):
+        part = df.select(F.col("id").cast("string").alias("id"), F.struct(F.lit(order).alias("order"), F.col("label").cast("string").alias("label"), F.lit(kind).alias("node_type")).alias("row"))
         v = part if v is None else v.unionByName(part)
-    v = v.dropDuplicates(["id"])
+    v = v.groupBy("id").agg(F.min("row").alias("row")).select("id", "row.node_type", "row.label")
     for kind, df in edges.items():
         part = df.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.lit(kind).alias("edge_type"))
         e = part if e is None else e.unionByName(part)

@@ -13,8 +13,14 @@ def _text(c: Column | str, numbers: Column) -> Column:
 
 
 def by_id(df: DataFrame, key: str) -> DataFrame:
-    """Primary-key lookup: text nulls read as empty; of repeated keys one row stays."""
-    return df.na.fill("").dropDuplicates([key])
+    """Primary-key lookup: text nulls read as empty; of repeated keys the first row stays (by _row, else the least by its columns in their order)."""
+    filled = df.na.fill("")
+    rest = [c for c in filled.columns if c != key]
+    if not rest:
+        return filled.distinct()
+    whole = F.struct(*[f"`{c}`" for c in rest])
+    first = filled.groupBy(key).agg((F.min_by(whole, "_row") if "_row" in rest else F.min(whole)).alias("_first"))
+    return first.select(*[F.col(key) if c == key else F.col(f"_first.`{c}`").alias(c) for c in filled.columns])
 
 
 def criminals(persons: DataFrame) -> DataFrame:

@@ -28,8 +28,8 @@ class Batch:
         return out
 
     def _numbered(self, name: str) -> DataFrame:
-        """A feed with its rows' order, which its file has."""
-        return self.c[name].withColumn("_row", F.monotonically_increasing_id())
+        """A feed with its rows' order, which its files have."""
+        return self.c.ordered(name)
 
     def _persist(self, name: str, df: DataFrame) -> None:
         self.paths[name] = sinks.artefact(df, self.folder, name, "parquet")

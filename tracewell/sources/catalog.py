@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.sources.storage import materialise
+
 # Parts of column names that hold identifiers, which stay text even if they look like numbers.
 IDENTIFIERS = ("msisdn", "imei", "imsi", "account_no", "account_number", "ifsc", "registration_no", "fir_no", "cell_id", "nic_ref", "handle", "email", "plate")
 
@@ -43,6 +45,7 @@ class Catalog:
         self.spark = spark
         self.feeds = {f.name: f for f in feeds}
         self._read: dict[str, DataFrame] = {}
+        self._placed: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.feeds:
@@ -66,21 +69,47 @@ class Catalog:
         header = self.spark.read.option("header", True).csv(path).columns
         return T.StructType([T.StructField(c, T.StringType()) for c in header])
 
-    def _open(self, feed: Feed) -> DataFrame:
+    def ordered(self, name: str) -> DataFrame:
+        """A feed with _row, each row's place in it from 0: by file name, then as the file has it.
+
+        A task reads splits from beginning to end, so a running number of the task, less the split's least, is a row's place in
+        its split; splits are counted, and their counts add up in the order of file and offset. However many files and splits
+        there are, places are those of a single reader. Rows are stored with their split once, since a second reading may split
+        otherwise; only counts of splits, not rows, are put in order in one task.
+        """
+        if name not in self.feeds:
+            raise KeyError(name)
+        if name not in self._placed:
+            feed = self.feeds[name]
+            if not self._exists(feed.path):
+                self._placed[name] = self._open(feed).withColumn("_row", F.lit(None).cast("long"))
+            else:
+                rows = materialise(self._open(feed, placed=True).withColumn("_line", F.monotonically_increasing_id()), "placed")
+                splits = rows.groupBy("_file", "_offset").agg(F.min("_line").alias("_first"), F.count("*").alias("_n"))
+                before = Window.orderBy("_file", "_offset").rowsBetween(Window.unboundedPreceding, -1)
+                splits = splits.select("_file", "_offset", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+                placed = rows.join(splits, ["_file", "_offset"]).withColumn("_row", F.col("_before") + F.col("_line") - F.col("_first"))
+                self._placed[name] = placed.drop("_file", "_offset", "_first", "_before", "_line")
+        return self._placed[name]
+
+    def _open(self, feed: Feed, placed: bool = False) -> DataFrame:
+        """placed: with the file and the offset of the split that each row comes from."""
+        split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_offset")] if placed else []
         declared = T.StructType.fromDDL(DOCUMENT if feed.kind == "json" else SCHEMAS.get(feed.name, "id string"))
         if not self._exists(feed.path):
             return self.spark.createDataFrame([], declared)
         if feed.kind == "parquet":
-            return self.spark.read.parquet(feed.path)
+            return self.spark.read.parquet(feed.path).select("*", *split)
         if feed.kind == "json":
-            return self.spark.read.schema(declared).json(feed.path)
+            return self.spark.read.schema(declared).json(feed.path).select("*", *split)
         text = self.spark.read.option("header", True).option("nullValue", "").option("emptyValue", "").schema(self.string_schema(feed.path)).csv(feed.path)
-        text = text.select([F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`")).alias(c) for c in text.columns])
+        named = text.columns
+        text = text.select([F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`")).alias(c) for c in named] + split)
         if feed.kind == "truth":
             return text
         kinds = {f.name: f.dataType for f in declared}
         keep = lambda c: c not in kinds or any(i in c for i in IDENTIFIERS)
-        return text.select([F.col(f"`{c}`") if keep(c) else F.col(f"`{c}`").try_cast(kinds[c]).alias(c) for c in text.columns])
+        return text.select([F.col(f"`{c}`") if keep(c) else F.col(f"`{c}`").try_cast(kinds[c]).alias(c) for c in named] + text.columns[len(named):])
 
     def documents(self, *names: str) -> DataFrame:
         """Text feeds, all of kind json if none is named, one after another."""
