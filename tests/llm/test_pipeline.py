@@ -78,3 +78,24 @@ def test_cut_texts_keep_their_lines(spark):
     rows = [(1, f"{passage}\nfirst end"), (2, f"head\n\n  {passage}\ttail\nlast  line "), (3, f"x\n{passage}\n")]
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id: r.text for r in cp.substring_dedup(spark, df, "").collect()} == {1: rows[0][1], 2: "head\n\n  tail\nlast  line ", 3: "x\n"}
+
+
+#: Every name that a stage or its operators use for a column of their own.
+WORKING = "features quality score chunk kept_text n_words n_removed removed_spans whole blocks room left tokens docs share before block rank epoch place n_tokens _source _hash _key _take _takes _s _b _id _rows _first _row set_key first least cid hash id component n_shingles carried none bucket".split()
+
+
+def test_columns_of_any_name_and_odd_rows(spark, sf_dir):
+    words = [f"w{i}" for i in range(90)]
+    rows = [(1, " ".join(words)), (1, " ".join(words)), (2, " ".join(words[1:])), (None, " ".join(words[5:60] + ["x"] * 60)), (None, None), (4, ""), (5, "tail " * 250_000), (6, None), (7, "Quiet words stand here, and others follow them. " * 3)]
+    extra = [c for c in WORKING if c not in ("text", "source", "lang", "doc_id", "n_chars")]
+    df = spark.createDataFrame([(i, t, None, None if k % 2 else "s", None, *[f"{c}-{k}" for c in extra]) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra))
+    docs = df
+    for name, stage in cp.STAGES[:-1]:
+        out = cp._shared.materialise(stage(spark, docs, sf_dir), "test")
+        assert out.columns == df.columns and dict(out.dtypes) == dict(df.dtypes)
+        for r in out.collect():
+            k = r["chunk"].partition("-")[2]
+            assert all(r[c] == f"{c}-{k}" for c in extra)
+            assert name == "substring dedup" or r.text == rows[int(k)][1] or name == "mixing sources"
+        docs = out if name != "quality classifier" else df  # the classifier may reject these few
+    assert cp.bpe_encoding(spark, docs, sf_dir).count() == docs.count() > 0

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.sources.storage import materialise, release, shared_dir  # noqa: F401
@@ -30,6 +31,25 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select([f"`{c}`" for c in df.columns if c.lower() not in taken])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with a mark behind it for as long as df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def apart(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns of df, and all others as one struct `carried`: no working column can clash with what a user has."""
+    others = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    return df.select(*[f"`{c}`" for c in names], F.struct(*(others or [F.lit(True).alias("none")])).alias("carried"))
+
+
+def together(df: DataFrame, columns: list[str], *names: str) -> DataFrame:
+    """What apart has put apart, as columns in their order."""
+    return df.select([F.col(f"`{c}`") if c in names else F.col("carried").getField(c).alias(c) for c in columns])
+
+
 def map_columns(df: DataFrame, reads: list[str], fields: list[T.StructField], make: Callable[[], Callable[..., list[pa.Array]]], drop: tuple[str, ...] = (), owner: str = "") -> DataFrame:
     """df with columns added batch by batch in Python workers.
 

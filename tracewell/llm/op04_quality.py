@@ -199,10 +199,10 @@ def _rows(packed: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(packed.to_pylist()), "<f4").reshape(-1, N_FEATURES).astype(float)
 
 
-def described(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with features binary (N_FEATURES 32-bit numbers) in place of its text."""
+def described(df: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """df with features binary (N_FEATURES 32-bit numbers), in place of its text if that isn't kept."""
     make = lambda: lambda texts: [pa.array([features(t).astype("<f4").tobytes() for t in texts.to_pylist()], pa.binary())]
-    return _shared.map_columns(df, [text], [T.StructField("features", T.BinaryType())], make, drop=(text,))
+    return _shared.map_columns(df, [text], [T.StructField("features", T.BinaryType())], make, drop=() if keep_text else (text,))
 
 
 def scored(df: DataFrame, net: Network | None) -> DataFrame:

@@ -8,8 +8,9 @@ windows around the hit are compared by hash, and the windows that repeat add up
 Documents are dealt to chunks of about a megabyte. A chunk sends the hashes of its probes and blocks to buckets (ranges of
 the hash) as packed arrays, each hash once, so a passage in every document costs a bucket one entry a chunk, never one a
 document; the bucket answers a chunk with one bit for each of its hashes. Windows go the same way, with the smallest
-document id of the chunk. No pair of documents is ever formed, no row is dropped or capped, and chunks and buckets are of
-bounded size: their numbers follow from the bytes of the input.
+document id of the chunk. No pair of documents is ever formed, no row is dropped or capped; the numbers of chunks and buckets
+follow from the bytes of the input, and a chunk's work depends on its own text alone. The bucket of a passage that every chunk
+has gets an entry from each chunk.
 
 Results: a null text has no words; a null id comes after all others; rows that share an id are one document for each other,
 so they remove nothing from each other; an empty table gives no rows; clashing columns of the input are replaced.
@@ -100,12 +101,11 @@ class Chunk:
         offset = at - self.starts[self.doc[at]]
         return at, (h >> U(32)) % U(buckets), h.astype(np.uint32), offset % self.block == 0, h
 
-    def cells(self, bucket: np.ndarray, key: np.ndarray, buckets: int):
-        """Each bucket's distinct keys in order -> (bucket, keys); and the place of each input in the joined keys."""
+    def cells(self, bucket: np.ndarray, key: np.ndarray):
+        """Distinct keys by bucket and key, the place of each input among them, and the buckets that there are with their edges."""
         both = bucket.astype(np.uint64) << U(32) | key
         distinct, place = np.unique(both, return_inverse=True)
-        edges = np.searchsorted(distinct, np.arange(buckets + 1, dtype=np.uint64) << U(32))
-        return distinct, place, edges
+        return distinct, place, *own_buckets(distinct >> U(32))
 
     def near(self, hit: np.ndarray) -> np.ndarray:
         """Positions of the windows that hold a probe at a position of hit."""
@@ -113,12 +113,11 @@ class Chunk:
         if not len(at):
             return at
         upto = np.zeros(len(self.h) + 1, np.int64)
-        np.add.at(upto, hit + 1, 1) if len(hit) < 64 else upto.__setitem__(slice(1, None), np.bincount(hit, minlength=len(self.h)))
-        upto = np.cumsum(upto)
+        upto[1:] = np.cumsum(np.bincount(hit, minlength=len(self.h)))
         return at[upto[at + self.window - self.block + 1] > upto[at]]
 
     def windows(self, at: np.ndarray, buckets: int):
-        """Distinct windows of those at, by bucket and key: their order, places, edges of buckets and smallest ids."""
+        """Distinct windows of those at, by bucket and key: keys, the buckets that there are, their edges, smallest ids, places and ids."""
         bucket = (rolling(self.h, self.window, BASES[1])[at] >> U(24)) % U(buckets)
         key = rolling(self.h, self.window, BASES[0])[at]
         order = np.lexsort((key, bucket))
@@ -131,7 +130,13 @@ class Chunk:
         place[order] = group
         ids = self.ids[self.doc[at]]
         least = np.minimum.reduceat(ids[order], first) if len(first) else ids[:0]
-        return k[first], np.searchsorted(b[first], np.arange(buckets + 1, dtype=np.uint64)), least, place, ids
+        return k[first], *own_buckets(b[first]), least, place, ids
+
+
+def own_buckets(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of an ordered array, and where each begins and the last ends. A chunk's work doesn't depend on how many buckets there are in all."""
+    sent, first = np.unique(of, return_index=True)
+    return sent.astype(np.int64), np.r_[first, len(of)]
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -143,13 +148,14 @@ def unplanes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
-def answered(table: pa.Table, kind: int, edges: np.ndarray) -> np.ndarray:
+def answered(table: pa.Table, kind: int, sent: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """The bits of a chunk's hashes from the buckets' answers of a kind."""
     bits = np.zeros(int(edges[-1]), bool)
     for k, b, packed in zip(table["kind"].to_pylist(), table["bucket"].to_pylist(), table["bits"].to_pylist(), strict=True):
         if k == kind:
-            n = int(edges[b + 1] - edges[b])
-            bits[edges[b]:edges[b + 1]] = np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool)
+            i = int(np.searchsorted(sent, b))
+            n = int(edges[i + 1] - edges[i])
+            bits[edges[i]:edges[i + 1]] = np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool)
     return bits
 
 
@@ -157,8 +163,8 @@ CELL = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("ch
 ANSWER = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("bits", T.BinaryType())])
 
 
-def _opened(table: pa.Table, at: tuple[str, str, int]) -> Chunk:
-    """at: names of the id and the text, and the window."""
+def _opened(table: pa.Table, at: tuple[str, str, int, str]) -> Chunk:
+    """at: names of the id and the text, the window, and the name of the chunk's number."""
     _shared.enter("words")
     ids = table[at[0]].cast(pa.int64()).fill_null(LAST_ID).to_numpy()
     return Chunk(table[at[1]].cast(pa.binary()).to_pylist(), ids, at[2])
@@ -179,13 +185,12 @@ def _send_anchors(at, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         c = _opened(table, at)
         _, bucket, key, block, _ = c.probes(buckets)
-        distinct, place, edges = c.cells(bucket, key, buckets)
+        distinct, place, sent, edges = c.cells(bucket, key)
         is_block = np.zeros(len(distinct), bool)
         is_block[place[block]] = True
         low = distinct.astype(np.uint32)
-        sent = [b for b in range(buckets) if edges[b] < edges[b + 1]]
-        part = [slice(edges[b], edges[b + 1]) for b in sent]
-        return _cells(sent, table["chunk"][0].as_py(), [low[p].tobytes() for p in part], [np.packbits(is_block[p]).tobytes() for p in part])
+        part = [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return _cells(sent, table[at[3]][0].as_py(), [low[p].tobytes() for p in part], [np.packbits(is_block[p]).tobytes() for p in part])
 
     return run
 
@@ -212,8 +217,8 @@ def _hit_windows(c: Chunk, answers: pa.Table, buckets: int) -> np.ndarray:
     at, bucket, key, block, h = c.probes(buckets)
     if not len(at):
         return at
-    _, place, edges = c.cells(bucket, key, buckets)
-    hit = answered(answers, 0, edges)[place]
+    _, place, sent, edges = c.cells(bucket, key)
+    hit = answered(answers, 0, sent, edges)[place]
     order = np.argsort(h, kind="stable")
     first = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
     ids = c.ids[c.doc[at]][order]
@@ -229,10 +234,9 @@ def _send_windows(at, buckets: int):
         if not table.num_rows:
             return _cells([], 0, [], [])
         c = _opened(table, at)
-        keys, edges, least, *_ = c.windows(_hit_windows(c, answers, buckets), buckets)
-        sent = [b for b in range(buckets) if edges[b] < edges[b + 1]]
-        part = [slice(edges[b], edges[b + 1]) for b in sent]
-        return _cells(sent, table["chunk"][0].as_py(), [keys[p].tobytes() for p in part], [planes(least[p]) for p in part])
+        keys, sent, edges, least, *_ = c.windows(_hit_windows(c, answers, buckets), buckets)
+        part = [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return _cells(sent, table[at[3]][0].as_py(), [keys[p].tobytes() for p in part], [planes(least[p]) for p in part])
 
     return run
 
@@ -259,8 +263,8 @@ def _meet_windows(table: pa.Table) -> pa.Table:
 def covered(c: Chunk, answers: pa.Table, buckets: int) -> np.ndarray:
     """Of a chunk's words, those to remove."""
     at = _hit_windows(c, answers, buckets)
-    _, edges, least, place, ids = c.windows(at, buckets)
-    gone = answered(answers, 1, edges)[place] | (least[place] < ids) if len(at) else np.zeros(0, bool)
+    _, sent, edges, least, place, ids = c.windows(at, buckets)
+    gone = answered(answers, 1, sent, edges)[place] | (least[place] < ids) if len(at) else np.zeros(0, bool)
     change = np.zeros(len(c.h) + 1, np.int64)
     starts = at[gone]  # distinct positions
     change[starts] += 1
@@ -324,17 +328,18 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int
     buckets = max(math.ceil(size["bytes"] / 6 / bucket_hashes), min(parts, chunks))
 
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("removed_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
-    columns = _shared.without(df, [*[f.name for f in added], "chunk"]).columns
+    columns = _shared.without(df, [f.name for f in added]).columns
+    chunk = _shared.fresh(df, "chunk")
     # every step takes all columns, so that the plan deals the documents out once and reuses that exchange
-    dealt = df.select(*[f"`{c}`" for c in columns], F.pmod(F.xxhash64(doc_id, text), F.lit(chunks)).alias("chunk")).repartition("chunk")
+    dealt = df.select(*[f"`{c}`" for c in columns], F.pmod(F.xxhash64(doc_id, text), F.lit(chunks)).alias(chunk)).repartition(chunk)
     out = T.StructType([*[df.schema[c] for c in columns], *added])
-    at = (doc_id, text, window)
+    at = (doc_id, text, window, chunk)
 
-    anchors = dealt.groupBy("chunk").applyInArrow(_send_anchors(at, buckets), CELL)
+    anchors = dealt.groupBy(chunk).applyInArrow(_send_anchors(at, buckets), CELL)
     met = anchors.groupBy("bucket").applyInArrow(_meet_anchors, ANSWER)
-    windows = dealt.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(_send_windows(at, buckets), CELL)
+    windows = dealt.groupBy(chunk).cogroup(met.groupBy("chunk")).applyInArrow(_send_windows(at, buckets), CELL)
     answers = met.unionByName(windows.groupBy("bucket").applyInArrow(_meet_windows, ANSWER))
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(at, buckets, columns, to_arrow_schema(out), keep_layout), out)
+    return dealt.groupBy(chunk).cogroup(answers.groupBy("chunk")).applyInArrow(_remove(at, buckets, columns, to_arrow_schema(out), keep_layout), out)
 
 
 def digests(df: DataFrame) -> DataFrame:

@@ -91,10 +91,11 @@ def exponent(share: DataFrame, entropy: float | None = None, most_repeats: float
 def mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", entropy: float | None = None, most_repeats: float | None = MOST_REPEATS, budget: int | None = None, block_docs: int = BLOCK_DOCS, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
     """df's rows as the mix takes them, with n_tokens long, epoch int, block int, rank long and place long.
 
-    keep: the columns to return, all of df's if None. Rows are counted once and written with these columns for the later steps.
+    keep: the columns to return, all of df's if None, but for those of the names that are added. They travel as one struct, so no
+    working column can clash with them. Rows are counted once and written with these columns for the later steps.
     """
     columns = _shared.without(df, ADDED).columns if keep is None else keep
-    tokens = _shared.materialise(df.select(*[f"`{c}`" for c in columns], F.col(source).alias("_source"), word_count(F.col(text)).alias("n_tokens"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("_hash"), F.col(key).alias("_key")), "tokens")
+    tokens = _shared.materialise(df.select(F.struct(*([F.col(f"`{c}`") for c in columns] or [F.lit(True)])).alias("carried"), F.col(source).alias("_source"), word_count(F.col(text)).alias("n_tokens"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("_hash"), F.col(key).alias("_key")), "tokens")
     share = _shared.materialise(shares(tokens.select("_source", "n_tokens")), "shares")
     t = exponent(share, entropy, most_repeats)
     weight = F.when(F.col("share") > 0, F.pow("share", F.lit(t))).otherwise(0.0)
@@ -125,13 +126,13 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "d
         ).alias("_take"),
     ).groupBy("_s", "_b").agg(F.sort_array(F.collect_list("_take")).alias("_takes"))  # a few epochs of one block
     taken = _shared.materialise(taken, "taken")  # a row a block: its size is known before the documents are joined
-    names = [*[f"`{c}`" for c in columns], "n_tokens", "_source", "_hash", "block"]
+    names = ["carried", "n_tokens", "_source", "_hash", "block"]
     rows = dealt.join(taken, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b"))).select(*names, "_key", F.explode("_takes").alias("_take"))
     rows = rows.select(*names, "_key", "_take.*").withColumn("place", F.xxhash64(F.lit(seed + 2), "epoch", "_hash"))
     inside = Window.partitionBy("_source", "block").orderBy("place", "_hash", "_key").rowsBetween(Window.unboundedPreceding, 0)
     broken = rows.where("room is not null").withColumn("_so_far", F.sum("n_tokens").over(inside)).where("_so_far <= room").drop("_so_far")
     out = rows.where("room is null").unionByName(broken)
-    return out.select(*[f"`{c}`" for c in columns], "n_tokens", "epoch", "block", "rank", "place")
+    return out.select(*[F.col("carried").getField(c).alias(c) for c in columns], "n_tokens", "epoch", "block", "rank", "place")
 
 
 def ranked(blocks: DataFrame, seed: int = SEED) -> DataFrame:
