@@ -17,10 +17,14 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the positive-unlabelled classifier doesn't reject."""
-    rows = _shared.materialise(op04_quality.described(docs.select("doc_id", "text")), "features")
-    net = op04_quality.learned(rows, _shared.table(spark, sf_dir, "labels"))
-    return op04_quality.score(docs, net).where(F.col("quality") >= op04_quality.THRESHOLD).select(docs.columns)
+    """Documents that the positive-unlabelled classifier doesn't reject; they are described once, and scored from what is stored.
+
+    A null text counts as empty, rows that share an id are scored each by its own text, an empty table gives none.
+    """
+    rows = _shared.materialise(op04_quality.described(_shared.apart(docs, "doc_id", "text"), keep_text=True), "features")
+    net = op04_quality.learned(rows.select("doc_id", "features"), _shared.table(spark, sf_dir, "labels"))
+    kept = op04_quality.scored(rows, net).where(F.col("quality") >= op04_quality.THRESHOLD)
+    return _shared.together(kept, docs.columns, "doc_id", "text")
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,16 +33,24 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of windows that an earlier one has; all else of a text stays as it is, line breaks too."""
-    cut = op06_substring.dedup(docs, keep_layout=True)
+    """Documents without the words of windows that an earlier one has; all else of a text stays as it is, line breaks too.
+
+    A null text stays null, rows that share an id remove nothing from each other, a null id comes last, an empty table gives none.
+    """
+    cut = op06_substring.dedup(_shared.apart(docs, "doc_id", "text", "n_chars"), keep_layout=True)
     hit = F.col("n_removed") > 0
     text = F.when(hit, F.col("kept_text")).otherwise(F.col("text"))
-    return cut.withColumn("text", text).withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    cut = cut.withColumn("text", text).withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return _shared.together(cut, docs.columns, "doc_id", "text", "n_chars")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's weight takes it, at least once."""
-    return op07_mixing.mix(docs).select(docs.columns)
+    """Each document as often as its source's weight takes it, at least once.
+
+    A null source is a source of its own, a text without words is taken once, repeated rows are mixed each by itself.
+    """
+    names = ("doc_id", "source", "text")
+    return _shared.together(op07_mixing.mix(_shared.apart(docs, *names)), docs.columns, *names)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
