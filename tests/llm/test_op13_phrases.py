@@ -36,7 +36,7 @@ def brute(rows, least, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed,sizes", [(0, {}), (1, {"flush_bytes": 300, "bucket_phrases": 40}), (2, {"filter_bits": 1 << 15, "flush_bytes": 2000})])
+@pytest.mark.parametrize("seed,sizes", [(0, {}), (1, {"flush_bytes": 300, "bucket_phrases": 4000}), (2, {"filter_bits": 1 << 15, "flush_bytes": 2000})])
 def test_random_texts(spark, seed, sizes):
     rng = random.Random(seed)
     words = ["the", "The", "of", "ü", "Ü", "x\x85y", "a\xa0b", "a", "b", "c"] + [f"r{i}" for i in range(60)]
