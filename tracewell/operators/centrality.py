@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tracewell.conf import KeyPlayer
 from tracewell.operators.iterate import components
 from tracewell.operators.ordering import all_percent_ranks, numbered, percent_ranks
-from tracewell.sources.storage import materialise
+from tracewell.sources.storage import materialise, measured, release
 
 CONF = KeyPlayer()
 #: Edges of a graph that is copied to the driver and to workers (some 200 bytes each, as Python lists).
@@ -49,8 +49,9 @@ def inside(edges: DataFrame, ids: DataFrame) -> DataFrame:
 def pagerank(links: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6, directed: bool = False, nodes: DataFrame | None = None) -> DataFrame:
     """id, pagerank of links src, dst, weight (directed) or edges a, b, weight. Rank of dead ends is dealt to all.
 
-    Each round joins ranks to links that are materialised once. Rounds end when the ranks change by less than tolerance a node
-    (looked at every fourth round), and raise if they don't; with tolerance None there are just so many.
+    A round is one job: what goes along links that are stored once is added up together with the ranks before it, and the write
+    also sees the rank of dead ends and the change. Rounds end when ranks change by less than tolerance a node, and raise if
+    they don't; with tolerance None there are just so many. A graph without nodes has no rows.
     """
     e = links.select("src", "dst", F.col("weight").cast("double").alias("weight")) if directed else both_ways(links).withColumn("weight", F.col("weight").cast("double"))
     e = e.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
@@ -59,36 +60,47 @@ def pagerank(links: DataFrame, alpha: float = 0.85, iterations: int = 100, toler
     ids = e.select(F.col("src").alias("id")).union(e.select("dst"))
     ids = materialise((ids if nodes is None else ids.union(nodes.select("id"))).distinct().join(e.select(F.col("src").alias("id")).distinct().withColumn("_out", F.lit(True)), "id", "left"), "nodes")
     n = ids.count()
-    ranks = ids.select("id", "_out", F.lit(1.0 / max(n, 1)).alias("r"))
-    for k in range(iterations):
-        got = ranks.join(e, ranks.id == e.src).groupBy("dst").agg(F.sum(F.col("r") * F.col("share")).alias("got"))
-        dead = ranks.agg(F.coalesce(F.sum(F.when(F.col("_out").isNull(), F.col("r"))), F.lit(0.0)).alias("dead"))
-        new = ids.join(got, ids.id == got.dst, "left").crossJoin(F.broadcast(dead)).select("id", "_out", ((1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("dead") / n)).alias("r"))
-        new = materialise(new, "ranks") if k % 4 == 3 else new
-        if tolerance is not None and k % 4 == 3:
-            change = new.join(ranks.select("id", F.col("r").alias("_r")), "id").agg(F.sum(F.abs(F.col("r") - F.col("_r")))).first()[0] or 0.0
-            if change < max(n, 1) * tolerance:
-                return new.select("id", F.col("r").alias("pagerank"))
-        ranks = new
-    if tolerance is not None:
-        raise RuntimeError(f"ranks did not settle in {iterations} rounds")
+    if n == 0:
+        return ids.select("id", F.lit(0.0).alias("pagerank"))
+    ranks = ids.select("id", "_out", F.lit(1.0 / n).alias("r"))
+    dead = ids.where("_out is null").count() / n
+    for _ in range(iterations):
+        sent = ranks.join(e, ranks.id == e.src).select(F.col("dst").alias("id"), F.lit(None).cast("boolean").alias("_out"), (F.col("r") * F.col("share")).alias("got"), F.lit(None).cast("double").alias("was"))
+        kept = ranks.select("id", "_out", F.lit(0.0).alias("got"), F.col("r").alias("was"))
+        new = sent.unionByName(kept).groupBy("id").agg(F.max("_out").alias("_out"), F.sum("got").alias("got"), F.max("was").alias("was"))
+        new = new.select("id", "_out", ((1 - alpha + alpha * dead) / n + alpha * F.col("got")).alias("r"), "was")
+        after, seen = measured(new, "ranks", dead=F.sum(F.when(F.col("_out").isNull(), F.col("r"))), change=F.sum(F.abs(F.col("r") - F.col("was"))))
+        release(ranks)
+        ranks, dead = after, seen["dead"] or 0.0
+        if tolerance is not None and seen["change"] < n * tolerance:
+            break
+    else:
+        if tolerance is not None:
+            raise RuntimeError(f"ranks did not settle in {iterations} rounds")
+    release(e)
+    if iterations:
+        release(ids)
     return ranks.select("id", F.col("r").alias("pagerank"))
 
 
 def eigenvector(edges: DataFrame, iterations: int = 1000, tolerance: float = 1e-8) -> DataFrame:
-    """id, eigenvector: the leading eigenvector of the weights, of length 1 (power iteration on A + I, which also settles on two-sided graphs)."""
+    """id, eigenvector: the leading eigenvector of the weights, of length 1 (power iteration on A + I, which also settles on two-sided graphs).
+
+    A round is one job, whose write also sees the vector's length; the change is looked at every fourth round.
+    """
     e = materialise(both_ways(edges).select("src", "dst", F.col("weight").cast("double").alias("weight")), "links")
-    x = e.select(F.col("src").alias("id")).distinct().withColumn("x", F.lit(1.0))
+    before, x = e, e.select(F.col("src").alias("id")).distinct().withColumn("x", F.lit(1.0))
     for k in range(iterations):
-        got = x.join(e, x.id == e.src).groupBy("dst").agg(F.sum(F.col("x") * F.col("weight")).alias("g"))
-        y = x.join(got, x.id == got.dst, "left").select("id", "x", (F.col("x") + F.coalesce("g", F.lit(0.0))).alias("y"))
-        norm = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"))
-        y = y.crossJoin(F.broadcast(norm)).select("id", "x", (F.col("y") / F.col("norm")).alias("y"))
-        if k % 4 == 3:
-            y = materialise(y, "vector")
-            if (y.agg(F.max(F.abs(F.col("y") - F.col("x")))).first()[0] or 0.0) < tolerance:
-                return y.select("id", F.col("y").alias("eigenvector"))
-        x = y.select("id", F.col("y").alias("x"))
+        sent = x.join(e, x.id == e.src).select(F.col("dst").alias("id"), (F.col("x") * F.col("weight")).alias("y"), F.lit(None).cast("double").alias("was"))
+        y = sent.unionByName(x.select("id", F.col("x").alias("y"), F.col("x").alias("was"))).groupBy("id").agg(F.sum("y").alias("y"), F.max("was").alias("was"))
+        after, seen = measured(y, "vector", square=F.sum(F.col("y") * F.col("y")))
+        if before is not e:
+            release(before)
+        norm = math.sqrt(seen["square"] or 1.0)  # no links: no rows either
+        before, x = after, after.select("id", (F.col("y") / F.lit(norm)).alias("x"))
+        if k % 4 == 3 and (after.agg(F.max(F.abs(F.col("y") / F.lit(norm) - F.col("was")))).first()[0] or 0.0) < tolerance:
+            release(e)
+            return x.select("id", F.col("x").alias("eigenvector"))
     raise RuntimeError(f"the eigenvector did not settle in {iterations} rounds")
 
 
@@ -96,6 +108,7 @@ def kcore(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """id, kcore: each node takes the h-index of its neighbours' numbers, from degrees on, until nothing changes.
 
     Neighbours' numbers are counted by value before they are put in order, so a hub's neighbours never meet one by one.
+    A round is one job, whose write also counts the changes.
     """
     from pyspark.sql import Window
 
@@ -105,12 +118,15 @@ def kcore(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     for _ in range(most_rounds):
         counts = e.join(core, e.dst == core.id).groupBy("src", "k").agg(F.count("*").alias("n"))
         h = counts.withColumn("upto", F.sum("n").over(down)).groupBy("src").agg(F.max(F.least("k", "upto")).alias("h"))
-        new = materialise(core.join(h, core.id == h.src).select("id", F.least("k", "h").alias("k")), "cores")
-        if not new.join(core.select("id", F.col("k").alias("_k")), "id").where("k <> _k").head(1):
+        after, seen = measured(core.join(h, core.id == h.src).select("id", F.least("k", "h").alias("k"), F.col("k").alias("was")), "cores", changed=F.count_if(F.col("k") != F.col("was")))
+        release(core)
+        core = after.select("id", "k")
+        core._shared_table = after._shared_table
+        if not seen["changed"]:
             break
-        core = new
     else:
         raise RuntimeError(f"core numbers did not settle in {most_rounds} rounds")
+    release(e)
     return core.select("id", F.col("k").cast("long").alias("kcore"))
 
 

@@ -11,6 +11,7 @@ from tracewell.operators.iterate import components
 from tracewell.operators.ordering import percent_ranks
 from tracewell.plans import layers as L
 from tracewell.plans import views as V
+from tracewell.sources.storage import materialise
 
 
 def calls_graph(s: SparkSession, d: str) -> DataFrame:
@@ -62,16 +63,21 @@ def authority(s: SparkSession, d: str) -> DataFrame:
 
 
 def metrics(s: SparkSession, d: str) -> DataFrame:
-    g = calls_graph(s, d)
+    return graph_metrics(materialise(calls_graph(s, d), "calls"))
+
+
+def graph_metrics(g: DataFrame) -> DataFrame:
     big = C.inside(g, C.giant(g))
     out = C.degrees(g).select("id", "degree").join(C.pagerank(g, tolerance=1e-10), "id").join(C.kcore(g), "id")
     return out.join(C.betweenness(big), "id", "left").join(C.eigenvector(big).withColumn("eigenvector", F.round("eigenvector", 9)), "id", "left").withColumn("pagerank", F.round("pagerank", 12))
 
 
 def players(s: SparkSession, d: str) -> DataFrame:
-    g = calls_graph(s, d)
-    comm, between = C.communities(g), C.betweenness(C.inside(g, C.giant(g)))
-    return C.key_players(g, metrics(s, d), comm, C.articulation_points(g), command.scores(authority(s, d)), C.broker_scores(g, comm, between))
+    g = materialise(calls_graph(s, d), "calls")
+    comm = materialise(C.communities(g), "communities")
+    measures = materialise(graph_metrics(g), "metrics")
+    between = measures.where("betweenness is not null").select("id", "betweenness")
+    return C.key_players(g, measures, comm, C.articulation_points(g), command.scores(authority(s, d)), C.broker_scores(g, comm, between))
 
 
 def narrative(s: SparkSession, d: str) -> DataFrame:
@@ -99,7 +105,7 @@ QUERIES = {
     "cross_community_reach": lambda s, d: C.cross_community_reach(calls_graph(s, d), calls_graph(s, d).select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", (F.col("id") % 5).alias("community"))),
     "key_players": players,
     "ranked_by_broker": lambda s, d: C.ranked_by(players(s, d), "broker", 25),
-    "disruption": lambda s, d: C.disruption(sparse_graph(s, d), players(s, d).select("id", "rank")),
+    "disruption": lambda s, d: C.disruption(materialise(sparse_graph(s, d), "sparse"), players(s, d).select("id", "rank")),
     "community_profile": lambda s, d: C.community_profile(
         C.communities(calls_graph(s, d)), V.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("role"), F.col("c_mktsegment").alias("syndicate"), F.col("c_nationkey").alias("state"), F.col("c_acctbal").alias("risk")),
         V.table(s, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("crime")), C.betweenness(calls_graph(s, d))),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Taken only where spark.checkpoint.dir is unset and driver and executors are one process, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints/tracewell"
@@ -31,6 +31,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def measured(df: DataFrame, name: str, **aggregates: Column) -> tuple[DataFrame, dict]:
+    """materialise(df), with aggregates over its rows taken by the tasks that write it: no second job reads the table."""
+    seen = Observation()
+    out = materialise(df.observe(seen, *[c.alias(k) for k, c in aggregates.items()]), name)
+    return out, seen.get
+
+
 def release(df: DataFrame) -> None:
     """Removes the table behind what materialise returned; nothing may be read from it any more."""
     path = df.__dict__.pop("_shared_table", None)
