@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tracewell.conf import Anomaly
 from tracewell.operators.ordering import quantile
 from tracewell.operators.pairing import paired
+from tracewell.sources.storage import materialise
 
 CONF = Anomaly()
 HOUR = 3_600_000_000
@@ -65,7 +66,7 @@ def layering(tx: DataFrame, conf: Anomaly = CONF) -> DataFrame:
     """
     t = prepared(tx)
     cut = quantile(t, "amount", conf.layering_quantile, "cut")
-    big = t.crossJoin(F.broadcast(cut)).where("amount >= cut").select("src", "dst", "ts", "_t", "amount")
+    big = materialise(t.crossJoin(F.broadcast(cut)).where("amount >= cut").select("src", "dst", "ts", "_t", "amount"), "payments")
     e = big.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.col("ts").alias("_ts"), F.col("_t").alias("_t2"), F.col("amount").alias("_amount"))
     chains = big.select(F.array("src", "dst").alias("path"), F.array(F.struct("ts", "amount")).alias("txns"), F.col("dst").alias("last"), F.col("_t").alias("t"), F.col("amount").alias("a"))
     done = None
@@ -75,7 +76,7 @@ def layering(tx: DataFrame, conf: Anomaly = CONF) -> DataFrame:
         else:
             low, high = conf.retention
             fits = (F.col("last") == F.col("_src")) & F.col("_t2").between(F.col("t"), F.col("t") + conf.layering_hours * HOUR) & F.expr(f"_amount / a between {low} and {high}") & ~F.array_contains("path", F.col("_dst"))
-            grown = chains.join(e, fits, "left")
+            grown = materialise(chains.join(e, fits, "left"), "chains")  # what ends here and what goes on both read it
             ended = grown.where("_src is null").select("path", "txns")
             chains = grown.where("_src is not null").select(
                 F.array_append("path", F.col("_dst")).alias("path"), F.array_append("txns", F.struct(F.col("_ts").alias("ts"), F.col("_amount").alias("amount"))).alias("txns"),
@@ -127,11 +128,13 @@ def round_trips(tx: DataFrame, conf: Anomaly = CONF) -> DataFrame:
     cut = quantile(t, "amount", conf.cycle_quantile, "cut")
     big = t.crossJoin(F.broadcast(cut)).where("amount >= cut and src <> dst")
     e = big.groupBy("src", "dst").agg(F.sort_array(F.collect_list(F.struct("ts", "amount"))).alias("txns")).select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.col("txns").alias("_txns"))
+    e = materialise(e, "legs")
     paths = e.select(F.array("_src", "_dst").alias("path"), F.array(F.col("_txns")[0]).alias("legs"))
     found = None
     low, high = conf.cycle_hops
     for size in range(2, high + 1):
         grown = paths.join(e, F.element_at("path", -1) == F.col("_src")).withColumn("_leg", F.try_element_at(F.filter("_txns", lambda x: x.ts >= F.element_at("legs", -1).ts), F.lit(1))).where("_leg is not null")
+        grown = materialise(grown.drop("_src", "_txns"), "circles")  # what closes here and what goes on both read it
         legs = F.array_append("legs", F.col("_leg"))
         if size >= low:
             closed = grown.where("_dst = path[0]").select("path", legs.alias("legs"))

@@ -51,17 +51,38 @@ def shortest(edges: DataFrame, a, b, max_len: int = 8) -> DataFrame:
     return out.select(F.col("depth").alias("step"), "id")
 
 
+def distances(links: DataFrame, target, most: int) -> DataFrame:
+    """id, left: how many steps a node is from target along links (src, dst in both directions), up to most."""
+    kind = dict(links.dtypes)["src"]
+    reached = frontier = links.sparkSession.createDataFrame([(target, 0)], f"id {kind}, left int")
+    for depth in range(1, most + 1):
+        step = frontier.join(links, frontier.id == links.dst).select(F.col("src").alias("id")).distinct()
+        frontier = materialise(step.join(reached, "id", "left_anti").withColumn("left", F.lit(depth)), "distances")
+        reached = reached.unionByName(frontier)
+        if frontier.isEmpty():
+            break
+    return reached
+
+
 def all_paths(edges: DataFrame, a, b, cutoff: int = 4, limit: int = 8) -> DataFrame:
-    """path, length: the shortest simple paths from a to b of at most cutoff edges, ties by their nodes."""
+    """path, length: the shortest simple paths from a to b of at most cutoff edges, ties by their nodes. None if a is b.
+
+    Distances to b come first; a path only grows to nodes from which b is near enough to be reached within cutoff.
+    """
     kind = dict(edges.dtypes)["src"]
-    e = _both(edges)
+    if a == b or cutoff < 1:
+        return edges.sparkSession.createDataFrame([], f"path array<{kind}>, length int")
+    e = materialise(_both(edges), "links")
+    to_go = distances(e, b, cutoff - 1)
     paths = edges.sparkSession.createDataFrame([([a],)], f"path array<{kind}>")
     found = None
-    for _ in range(cutoff):
-        paths = paths.join(e, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.array_append("path", F.col("dst")).alias("path"))
-        hit = paths.where(F.element_at("path", -1) == F.lit(b))
+    for step in range(1, cutoff + 1):
+        near = e.join(to_go.where(F.col("left") <= cutoff - step), e.dst == to_go.id).select("src", "dst")
+        grown = paths.join(near, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.array_append("path", F.col("dst")).alias("path"))
+        grown = materialise(grown, "paths")
+        hit = grown.where(F.element_at("path", -1) == F.lit(b))
         found = hit if found is None else found.unionByName(hit)
-        paths = paths.where(F.element_at("path", -1) != F.lit(b))
+        paths = grown.where(F.element_at("path", -1) != F.lit(b))
     return found.withColumn("length", F.size("path") - 1).orderBy("length", "path").limit(limit)
 
 
