@@ -134,7 +134,8 @@ def round_trips(tx: DataFrame, conf: Anomaly = CONF) -> DataFrame:
     low, high = conf.cycle_hops
     for size in range(2, high + 1):
         grown = paths.join(e, F.element_at("path", -1) == F.col("_src")).withColumn("_leg", F.try_element_at(F.filter("_txns", lambda x: x.ts >= F.element_at("legs", -1).ts), F.lit(1))).where("_leg is not null")
-        grown = materialise(grown.drop("_src", "_txns"), "circles")  # what closes here and what goes on both read it
+        closes = (F.col("_dst") == F.col("path")[0]) & F.lit(size >= low)
+        grown = materialise(grown.where(closes | ~F.array_contains("path", F.col("_dst"))).drop("_src", "_txns"), "circles")  # what closes here and what goes on both read it
         legs = F.array_append("legs", F.col("_leg"))
         if size >= low:
             closed = grown.where("_dst = path[0]").select("path", legs.alias("legs"))
