@@ -106,3 +106,35 @@ def test_recall_with_cells(spark, cell, monkeypatch):
     true, found = sum(n for n, _ in expect.values()), sum(got.values())
     assert true >= 9990 and all(got[i] <= expect[i][0] for i in expect)
     assert found >= 0.97 * true, found / true
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.5, 0.7, 0.8])
+def test_cells_of_vectors_with_a_common_direction(mean, monkeypatch):
+    """500 centres in 62 groups, of which 32 are looked at; 5,000 pairs at a cosine of 0.90 to 0.93 among 20,000 vectors."""
+    monkeypatch.setattr(emb, "GROUP", 8)
+    rng = np.random.default_rng(14)
+    x = emb.units((1 - mean) ** 0.5 * emb.units(rng.normal(size=(15_000, 64))) + mean**0.5 * emb.units(rng.normal(size=(1, 64))))
+    cos = rng.uniform(0.90, 0.93, 5000)[:, None]
+    away = rng.normal(size=(5000, 64))
+    away = emb.units(away - (away * x[:5000]).sum(1, keepdims=True) * x[:5000])
+    x = np.vstack([x, cos * x[:5000] + np.sqrt(1 - cos**2) * away])
+    centres = emb.Centres(x[rng.choice(len(x), 500, replace=False)])
+    near = centres.nearest(x)
+    assert len(centres.tops) == 62 and np.bincount(np.concatenate(near)).max() < 0.05 * len(x)
+    assert np.mean([bool(set(near[i]) & set(near[15_000 + i])) for i in range(5000)]) >= 0.95
+
+
+def test_recall_with_a_common_direction(spark):
+    """A mean cosine of 0.7, 5,000 pairs at 0.90 to 0.93."""
+    rng = np.random.default_rng(15)
+    x = emb.units(0.3**0.5 * emb.units(rng.normal(size=(8_000, 64))) + 0.7**0.5 * emb.units(rng.normal(size=(1, 64))))
+    cos = rng.uniform(0.90, 0.93, 5000)[:, None]
+    away = rng.normal(size=(5000, 64))
+    away = emb.units(away - (away * x[:5000]).sum(1, keepdims=True) * x[:5000])
+    x = np.vstack([x, cos * x[:5000] + np.sqrt(1 - cos**2) * away])
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    expect = brute(list(range(len(x))), x)
+    got = {r.vec_id: r.n_links for r in emb.dedup(df, cell=40).collect()}
+    true, found = sum(n for n, _ in expect.values()), sum(got.values())
+    assert true >= 9990 and all(got[i] <= expect[i][0] for i in expect)
+    assert found >= 0.95 * true, found / true

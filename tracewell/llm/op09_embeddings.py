@@ -8,8 +8,9 @@ errors (at the threshold's cosine) and that length stays under the threshold is
 in double precision.
 
 Equal vectors are one class with a count and a number of its own: ids may repeat or be null. Each class goes to the PROBES
-nearest of a sample of centres that grows with the table and has two levels; two linked vectors are compared in the first
-cell that both have. A cell with many vectors is dealt out to blocks, and each pair of blocks is a task, so no cell is
+nearest of a sample of centres that grows with the table and has two levels, after the sample's mean is taken out, so that a
+direction which all vectors share doesn't draw them into few cells; of centres that would link, one stays. Two linked vectors
+are compared in the first cell that both have. A cell with many vectors is dealt out to blocks, and each pair of blocks is a task, so no cell is
 gathered in one. Codes and queries are what is dealt out; vectors follow only for those that a code didn't rule out. Tasks
 give counts and a spanning forest of their links, never pairs.
 
@@ -38,8 +39,8 @@ from tracewell.operators.iterate import components
 
 THRESHOLD, SURE, SEED = 0.9, 6.0, 11
 #: Vectors that a cell is to hold; bytes of centres at most (a sample bounded by them is collected and sent to the workers);
-#: centres of a group; groups and cells that a vector looks at; and the cosine from which one of two centres is dropped.
-CELL, CENTRE_BYTES, GROUP, GROUP_PROBES, PROBES, APART = 400, 64 << 20, 256, 32, 10, 0.6
+#: centres of a group; groups and cells that a vector looks at.
+CELL, CENTRE_BYTES, GROUP, GROUP_PROBES, PROBES = 400, 64 << 20, 256, 32, 10
 #: Rows of a block; a pair of blocks is one task. Pairs of rows that are computed again at once.
 BLOCK, PAIRS = 2048, 20_000
 
@@ -77,30 +78,37 @@ def candidates(bits: np.ndarray, factors: np.ndarray, small: np.ndarray, steps:
 
 
 class Centres:
-    """Two levels: groups by their first members, and each group's centres that are well apart."""
+    """Two levels: groups by their first members, and each group's centres, none of which link. All without the sample's mean."""
 
-    def __init__(self, sample: np.ndarray):
+    def __init__(self, sample: np.ndarray, threshold: float = THRESHOLD):
+        self.mean = sample.mean(0)
+        whole, sample = sample.astype(np.float32), self.placed(sample)
         n = max(1, len(sample) // GROUP)
-        self.tops = sample[:n].astype(np.float32)
+        self.tops = sample[:n]
         nearest = np.concatenate([(sample[i:i + 4096] @ self.tops.T).argmax(1) for i in range(0, len(sample), 4096)])
         self.groups, self.first = [], []
         count = 0
         for t in range(n):
-            own = sample[nearest == t].astype(np.float32)
+            own, as_given = sample[nearest == t], whole[nearest == t]
             free, kept = np.ones(len(own), bool), []
             while free.any():
                 i = int(free.argmax())
                 kept.append(i)
-                free &= own @ own[i] < APART
+                free &= as_given @ as_given[i] < threshold
                 free[i] = False
             self.groups.append(own[kept])
             self.first.append(count)
             count += len(kept)
         self.count = count
 
+    def placed(self, u: np.ndarray) -> np.ndarray:
+        """Directions from the mean; the mean itself has none and stays zero."""
+        away = u - self.mean
+        return (away / np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+
     def nearest(self, u: np.ndarray) -> list[list[int]]:
         """For each unit vector the numbers of its PROBES nearest centres, in order, among the GROUP_PROBES nearest groups."""
-        u = u.astype(np.float32)
+        u = self.placed(u)
         groups = min(GROUP_PROBES, len(self.tops))
         near = np.argpartition(-(u @ self.tops.T), groups - 1, axis=1)[:, :groups]
         score = np.full((len(u), groups * PROBES), -2, np.float32)
@@ -236,7 +244,7 @@ def dedup(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", thre
     wanted = 1 if exact else min(max(total // cell, 1), CENTRE_BYTES // 4 // dim)
     drawn = classes.where(F.pmod(F.xxhash64("key"), F.lit(total)) < wanted).select("key", "vector").limit(2 * wanted).collect() if wanted > 1 else []
     drawn = [r.vector for r in sorted(drawn, key=lambda r: bytes(r.key))]
-    centres = Centres(units(np.frombuffer(b"".join(drawn), "<f8").reshape(-1, dim))) if drawn else None
+    centres = Centres(units(np.frombuffer(b"".join(drawn), "<f8").reshape(-1, dim)), threshold) if drawn else None
     shared, turn = spark.sparkContext.broadcast(centres), rotation(dim)
 
     def placing():
