@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -82,26 +82,22 @@ def gazetteer(columns: dict[str, list[tuple[DataFrame, str]]], persons: DataFram
     return Gazetteer(**found)
 
 
-class Extractor:
-    def __init__(self, g: Gazetteer):
-        self.g = g
+class Cascade:
+    """Spans of a text, given what the word lists hold: the spans found of each list in the order of tiers, whether a span is
+    a city, whether it is a city and an area, and whether it is a person's name or has a word of one."""
+
+    def __init__(self):
         self.first = [(k, re.compile(p)) for k, p in PATTERNS.items()]
-        self.listed = [(label, self._any(getattr(g, name))) for label, name in g.lists if getattr(g, name)]
-        self.both = g.cities & g.areas
         self.trigger = re.compile(rf"(?:{'|'.join(TRIGGERS)})\s+$")
 
     @staticmethod
-    def _any(values) -> re.Pattern:
-        """One of the values between non-words, longer ones first."""
-        return re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(values, key=lambda v: (-len(v), v)))) + r")(?!\w)")
-
-    def _locality(self, text: str, start: int, end: int) -> bool:
+    def _locality(text: str, start: int, end: int, city: Callable[[int, int], bool]) -> bool:
         """Whether a name that is a city and an area reads as the area: a city follows, or a word of residence stands before."""
         m = re.match(r",\s*([A-Z][\w'\-]*(?:\s[A-Z][\w'\-]*)*)", text[end:end + 40])
-        return bool(m and m[1] in self.g.cities) or bool(re.search(r"(?:r/o|resident of|situated at)\s+$", text[max(0, start - 12):start]))
+        return bool(m and city(end + m.start(1), end + m.end(1))) or bool(re.search(r"(?:r/o|resident of|situated at)\s+$", text[max(0, start - 12):start]))
 
     @staticmethod
-    def _trimmed_end(text: str, start: int, end: int) -> int:
+    def trimmed_end(text: str, start: int, end: int) -> int:
         """The end of a span without stop words at its two sides; its start stays. start itself if nothing is left."""
         words = text[start:end].split()
         while words and words[-1].lower() in STOP_WORDS:
@@ -111,13 +107,23 @@ class Extractor:
         at = text.find(" ".join(words), start, end) if words else -1
         return start if at < 0 else at + len(" ".join(words))
 
-    def _person(self, text: str, start: int, end: int) -> bool:
-        words = [w.lower().strip(".") for w in text[start:end].split()]
-        if not 1 <= len(words) <= 4 or any(w in STOP_WORDS for w in words):
-            return False
-        return S.py_normalize(text[start:end]) in self.g.names or any(w in self.g.tokens for w in words) or bool(self.trigger.search(text[max(0, start - 24):start]))
+    @staticmethod
+    def name_words(name: str) -> list[str]:
+        """The words of what may be a name; none if it can't be one."""
+        words = [w.lower().strip(".") for w in name.split()]
+        return words if 1 <= len(words) <= 4 and not any(w in STOP_WORDS for w in words) else []
 
-    def spans(self, text: str) -> list[tuple[int, int, str]]:
+    def candidates(self, text: str) -> Iterator[tuple[int, int]]:
+        """Spans of capitalised words, without stop words at their sides."""
+        for m in re.finditer(CANDIDATE, text):
+            s, e = m.span(1)
+            e = self.trimmed_end(text, s, e)
+            if e > s and self.name_words(text[s:e]):
+                yield s, e
+
+    def claimed(
+        self, text: str, listed: Iterable[tuple[str, Iterable[tuple[int, int]]]], city: Callable[[int, int], bool], both: Callable[[int, int], bool], named: Callable[[int, int], bool]
+    ) -> list[tuple[int, int, str]]:
         starts: list[int] = []  # of claimed spans, in order; they don't overlap
         ends: list[int] = []
         found = []
@@ -137,21 +143,43 @@ class Extractor:
         for label, rx in self.first:
             for m in rx.finditer(text):
                 claim(*m.span(), label)
-        for label, rx in self.listed:
-            for m in rx.finditer(text):
-                if not (label == "GPE" and m[0] in self.both and self._locality(text, *m.span())):
-                    claim(*m.span(), label)
+        for label, spans in listed:
+            for s, e in spans:
+                if not (label == "GPE" and both(s, e) and self._locality(text, s, e, city)):
+                    claim(s, e, label)
         for m in re.finditer(ALIAS, text):
-            claim(m.start(1), self._trimmed_end(text, *m.span(1)), "ALIAS")
+            claim(m.start(1), self.trimmed_end(text, *m.span(1)), "ALIAS")
         for m in re.finditer(CANDIDATE, text):
             s, e = m.span(1)
             if free(s, e):
-                e = self._trimmed_end(text, s, e)
-                if e > s and self._person(text, s, e):
+                e = self.trimmed_end(text, s, e)
+                if e > s and self.name_words(text[s:e]) and (named(s, e) or self.trigger.search(text[max(0, s - 24):s])):
                     claim(s, e, "PERSON")
         return sorted(found)
 
 
+class Extractor(Cascade):
+    """The cascade over lists that are in memory; wordlists.extract takes lists of any size."""
+
+    def __init__(self, g: Gazetteer):
+        super().__init__()
+        self.g = g
+        self.listed = [(label, self._any(getattr(g, name))) for label, name in g.lists if getattr(g, name)]
+        self.both = g.cities & g.areas
+
+    @staticmethod
+    def _any(values) -> re.Pattern:
+        """One of the values between non-words, longer ones first."""
+        return re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(values, key=lambda v: (-len(v), v)))) + r")(?!\w)")
+
+    def _named(self, name: str) -> bool:
+        return S.py_normalize(name) in self.g.names or any(w in self.g.tokens for w in self.name_words(name))
+
+    def spans(self, text: str) -> list[tuple[int, int, str]]:
+        listed = ((label, (m.span() for m in rx.finditer(text))) for label, rx in self.listed)
+        return self.claimed(text, listed, lambda s, e: text[s:e] in self.g.cities, lambda s, e: text[s:e] in self.both, lambda s, e: self._named(text[s:e]))
+
+
 def extract(documents: DataFrame, g: Gazetteer = Gazetteer()) -> DataFrame:
     """doc_id, start, end, text, label of documents doc_id, text."""
     shared = documents.sparkSession.sparkContext.broadcast(g)  # its size is bounded where it is made

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.operators import evaluate, graph, ner, serve
+from tracewell.operators import evaluate, graph, ner, serve, wordlists
 from tracewell.plans import layers as L
 from tracewell.plans import views as V
 from tracewell.streaming import detectors
@@ -31,6 +31,24 @@ def mentions(s: SparkSession, d: str) -> DataFrame:
     return words.where("w < 'b'").select("doc_id", F.lit("PERSON").alias("label"), F.col("w").alias("entity_id"))
 
 
+def listed(s: SparkSession, d: str) -> DataFrame:
+    """As word lists: every run of five words of a benchmark passage (ORG), and its second word alone (GPE)."""
+    w = V.table(s, d, "benchmark").select(F.split("text", " ").alias("w"))
+    runs = w.select(F.explode(F.expr("transform(sequence(1, greatest(size(w) - 4, 1)), i -> array_join(slice(w, i, 5), ' '))")).alias("value"))
+    return runs.select(F.lit("ORG").alias("label"), "value").union(w.select(F.lit("GPE"), F.expr("get(w, 1)")))
+
+
+def listed_entities(s: SparkSession, d: str) -> DataFrame:
+    """Entities by those lists; first words of passages are persons' names."""
+    names = V.table(s, d, "benchmark").select(F.expr("split(text, ' ')[0]").alias("full_name"))
+    return wordlists.extract(V.table(s, d, "documents"), listed(s, d), names)
+
+
+def listed_places(s: SparkSession, d: str) -> DataFrame:
+    """In how many documents each listed value stands."""
+    return wordlists.places(V.table(s, d, "documents"), listed(s, d)).groupBy("label", "value").agg(F.count_distinct("doc_id").alias("n"))
+
+
 def ego(s: SparkSession, d: str) -> DataFrame:
     return serve.ego(graph.comm_layer(V.v_comm(s, d)).select("a", "b", "weight"), 120, 2, limit=10_000)
 
@@ -55,6 +73,8 @@ def stream_of(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "ner_regex_entities": lambda s, d: regex_entities(s, d).groupBy("doc_id", "label").agg(F.count("*").alias("n")),
+    "ner_listed_entities": lambda s, d: listed_entities(s, d).groupBy("doc_id", "label").agg(F.count("*").alias("n")),
+    "listed_places": listed_places,
     "ner_link": lambda s, d: ner.link(regex_entities(s, d).withColumn("label", F.when(F.col("label") == "ACCOUNT", "ORG").otherwise(F.col("label"))), phone_index(s, d)),
     "ner_prf": lambda s, d: evaluate.entity_prf(gold(s, d), regex_entities(s, d)),
     "relation_matches": lambda s, d: ner.matches(V.table(s, d, "documents")).groupBy("relation").agg(F.count("*").alias("n")),
@@ -68,6 +88,11 @@ QUERIES = {
     "session_counts": lambda s, d: detectors.sessions(stream_of(s, d)),
 }
 ORACLES = {
+    "listed_places": r"""with b as (select string_split(text, ' ') as w from benchmark), v as (select distinct label, trim(value) as value from (
+        select 'ORG' as label, array_to_string(list_slice(w, i, i + 4), ' ') as value from (select w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from b) union all select 'GPE', w[2] from b) where trim(value) not in ('', '-')),
+      marked as (select label, value, chr(1) || regexp_replace(value, '([^\pL\pN_])', chr(1) || '\1' || chr(1), 'g') || chr(1) as m from v),
+      texts as (select doc_id, chr(1) || regexp_replace(text, '([^\pL\pN_])', chr(1) || '\1' || chr(1), 'g') || chr(1) as t from documents)
+      select label, value, count(distinct doc_id) as n from marked join texts on contains(t, m) group by 1, 2""",
     "co_mentions": """with w as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from documents), p as (select * from w where length(w) = 5 and w < 'b')
       select x.w as src, y.w as dst, 'CO_MENTIONED_WITH' as relation, true as symmetric, x.doc_id, 0.25::double as confidence from p x join p y on x.doc_id = y.doc_id and x.w < y.w""",
     "search": """with h as (select 'person' as kind, c_custkey::varchar as id, c_name as label, 0.95::double as score from customer where contains(regexp_replace(lower(c_name), '[^a-z]', '', 'g'), 'customer')
