@@ -52,6 +52,13 @@ def test_batch(spark, tmp_path):
     assert t["key_players"].count() == 4 and set(b.timings) >= {"fused", "anomalies"}
 
 
+def test_word_lists_joined(spark, tmp_path):
+    b = Batch(catalog(spark, tmp_path), str(tmp_path / "out"), word_lists="joined")
+    documents = b.c.documents()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(b._entities(documents)) == rows(Batch(b.c, str(tmp_path / "out"))._entities(documents))
+
+
 def test_decisions_and_bulk_load(spark, tmp_path):
     path = f"{tmp_path}/log"
     sinks.record_decision(spark, path, "LINK", "LNK1", "CONFIRMED", "me")

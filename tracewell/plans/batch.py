@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 import time
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators import anomaly, centrality, command, graph, indices, links, ner, resolve
-from tracewell.sources import sinks
+from tracewell.operators import anomaly, centrality, command, graph, indices, links, ner, resolve, wordlists
+from tracewell.sources.artefacts import Store
 from tracewell.sources.catalog import Catalog
 from tracewell.sources.storage import materialise
 
 
 class Batch:
-    """run() writes one table an artefact under folder and returns {name: path}; timings has seconds by stage."""
+    """run() publishes one table an artefact as a new version of the store at folder and returns {name: path}; a run that fails
+    leaves the last version. timings has seconds by stage. word_lists="joined" looks names up by joins instead of in every worker's
+    memory, for lists beyond what ner.gazetteer takes."""
 
-    def __init__(self, catalog: Catalog, folder: str):
-        self.c, self.folder = catalog, folder
+    def __init__(self, catalog: Catalog, folder: str, word_lists: str = "memory"):
+        if word_lists not in ("memory", "joined"):
+            raise ValueError("word_lists is memory or joined")
+        self.c, self.store, self.word_lists = catalog, Store(catalog.spark, folder), word_lists
         self.timings: dict[str, float] = {}
-        self.paths: dict[str, str] = {}
 
     def _stage(self, name: str, make) -> DataFrame:
         began = time.time()
@@ -31,8 +35,13 @@ class Batch:
         """A feed with its rows' order, which its files have."""
         return self.c.ordered(name)
 
-    def _persist(self, name: str, df: DataFrame) -> None:
-        self.paths[name] = sinks.artefact(df, self.folder, name, "parquet")
+    def _entities(self, documents: DataFrame) -> DataFrame:
+        c = self.c
+        lists = {"GPE": ("cities", "locations", "city"), "LOC": ("areas", "locations", "area"), "ORG": ("orgs", "organizations", "name"), "AGENCY": ("agencies", "incidents", "investigating_agency")}
+        if self.word_lists == "memory":
+            return ner.extract(documents, ner.gazetteer({name: [(c[feed], column)] for name, feed, column in lists.values()}, c["persons"]))
+        words = [c[feed].select(F.lit(label).alias("label"), F.col(column).alias("value")) for label, (_, feed, column) in lists.items()]
+        return wordlists.extract(documents, reduce(DataFrame.union, words), c["persons"])
 
     def run(self) -> dict[str, str]:
         c = self.c
@@ -45,8 +54,7 @@ class Batch:
 
         documents = c.documents()
         index = c["persons"].select(F.lit("PERSON").alias("kind"), F.col("full_name").alias("name"), F.col("person_id").alias("id"))
-        words = ner.gazetteer({"cities": [(c["locations"], "city")], "areas": [(c["locations"], "area")], "orgs": [(c["organizations"], "name")], "agencies": [(c["incidents"], "investigating_agency")]}, c["persons"])
-        entities = self._stage("entities", lambda: ner.link(ner.extract(documents, words), index))
+        entities = self._stage("entities", lambda: ner.link(self._entities(documents), index))
         said = self._stage("relations", lambda: ner.relations(documents, entities, index))
 
         layers = graph.layer_rows({
@@ -82,9 +90,11 @@ class Batch:
         people = c["persons"].select(F.col("person_id").alias("person"), F.col("full_name").alias("name"), F.col("syndicate_code").alias("syndicate"))
         hidden = self._stage("links", lambda: links.merged(hidden, people))
 
-        for name, df in {
+        results = {
             "entities": entities, "extracted_relations": said, "proposed_relations": command.split_extracted(said, declared)[1], "fused_edges": edges, "leads": leads, "communities": community, "key_players": players,
             "resolution_proposals": proposals, "anomalies": found, "hidden_links": hidden, "feeds": c.summary(),
-        }.items():
-            self._persist(name, df)
-        return self.paths
+        }
+        with self.store.run():
+            for name, df in results.items():
+                self.store.stage(name, df)
+        return self.store.paths()
