@@ -120,3 +120,11 @@ def test_rounds_leave_one_table(spark):
     after = count()
     assert {n: after[n] - before[n] for n in after} == {"ranks": 1, "vector": 1, "cores": 1}
     assert all(k.count() for k in kept)
+
+
+def test_labels_that_swing_are_told(spark):
+    edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, 1.0), (7, 8, 1.0)], "a long, b long, weight double")
+    got = {r.id: (r.label, r.settled) for r in C.label_propagation(edges, 6).collect()}
+    assert {got[k][0] for k in (1, 2, 3)} == {1} and all(got[k][1] for k in (1, 2, 3))
+    assert got[7] == (7, False) and got[8] == (8, False)  # after an even number of rounds of taking each other's label
+    assert C.label_propagation(edges.limit(0)).count() == 0

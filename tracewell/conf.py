@@ -93,6 +93,7 @@ AUTHORITY = {
 CHAIN = ("REPORTS_TO", "HANDLER_OF", "RECRUITED_BY", "ACTS_ON_INSTRUCTIONS_OF")
 # Confidence of each link mechanism, in the order in which links are merged.
 MECHANISMS = {"SHARED_HANDSET_IMEI": 0.92, "SHARED_BANK_ACCOUNT": 0.88, "SHARED_VEHICLE": 0.74, "CO_LOCATION": 0.55, "COMMON_ASSOCIATES": 0.45}
+# Incidents of a vehicle, roles of the accused, likeness of a misspelt name.
 VEHICLE_INCIDENTS = (2, 8)
 ACCUSED_ROLES = ("ACCUSED", "SUSPECT", "ABSCONDING_ACCUSED")
 FUZZY_NAME = 0.88

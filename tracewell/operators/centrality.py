@@ -301,17 +301,22 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 20, met
 
 
 def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """id, label: each node takes the heaviest label around it (its own counts a little; the least of equal ones), for at most so many rounds: labels may swing for ever."""
+    """id, label, settled: each node takes the heaviest label around it (its own counts a little; the least of equal ones), for at most so many rounds.
+
+    Labels may swing for ever; settled is false for the nodes whose label changed in the last round.
+    """
     e = materialise(both_ways(edges), "links")
-    labels = e.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id"))
+    labels = e.select(F.col("src").alias("id")).distinct().select("id", F.col("id").alias("label"), F.lit(False).alias("settled"))
     for _ in range(rounds):
-        votes = e.join(labels, e.dst == labels.id).select(F.col("src").alias("id"), "label", "weight")
-        votes = votes.unionByName(labels.withColumn("weight", F.lit(1e-6))).groupBy("id", "label").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy("id").agg(F.max("w").alias("top"))
-        new = materialise(votes.join(best, "id").where("w >= top").groupBy("id").agg(F.min("label").alias("label")), "labels")
-        if not new.join(labels.withColumnRenamed("label", "_l"), "id").where("label <> _l").head(1):
-            return new
-        labels = new
+        own = labels.select("id", "label")
+        votes = e.join(own, e.dst == own.id).select(F.col("src").alias("id"), "label", "weight")
+        votes = votes.unionByName(own.withColumn("weight", F.lit(1e-6))).groupBy("id", "label").agg(F.sum("weight").alias("w"))
+        taken = votes.groupBy("id").agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("label"))
+        taken = taken.join(own.withColumnRenamed("label", "_before"), "id").select("id", "label", (F.col("label") == F.col("_before")).alias("settled"))
+        former, (labels, seen) = labels, measured(taken, "labels", moved=F.count_if(~F.col("settled")))
+        release(former)
+        if not seen["moved"]:
+            break
     return labels
 
 

@@ -26,6 +26,7 @@ PATTERNS = {
     "POLICE_STATION": r"\b(?:[A-Z][\w'\-]*(?:\s[A-Z][\w'\-]*)*)\sPolice\sStation\b",
 }
 SILENT = ("FIR_NO", "SEAL")
+# A name after an alias mark, and capitalised words that may be a person.
 ALIAS = r"(?:@|\burf\b)\s+([A-Z][\w'\-]*(?:\s[A-Z][\w'\-]*){0,2})"
 CANDIDATE = r"\b([A-Z][a-z'\-]{1,}(?:\s[A-Z][a-z'\-]{1,}){0,3})\b"
 # Words that stand right before a person.
@@ -38,6 +39,7 @@ neft rtgs atm cctv sho kg nos hrs vpa kyc sim imei sub registrar mining departme
 crime branch narcotics control revenue intelligence enforcement railway protection income tax border security economic offences special task anti
 terrorism cyber criminal history unlawful activity
 """.split())
+# Fixed value: a name in a relation.
 _NAME = r"[A-Z][\w']+(?:\s[A-Z][\w']+){0,2}"
 # Relation, pattern (its name is group b), and whether the named one is the source.
 RELATIONS = (
