@@ -46,6 +46,19 @@ def test_entities_of_literal_sentences():
     assert said("FIR No. 123/2024 seal 'ABC' 490154203237518 9876543210 HR26 DK 8337 Rs. 4,500 2 kg") == {("490154203237518", "IMEI"), ("9876543210", "PHONE"), ("HR26 DK 8337", "VEHICLE_REG"), ("Rs. 4,500", "MONEY"), ("2 kg", "QUANTITY")}
 
 
+def test_relations_of_literal_sentences(spark):
+    docs = spark.createDataFrame([
+        ("a", "Naseer Ahmed acted at the instance of Om Prakash. Later he met Ravi Kumar."), ("b", "Goods were supplied to Om Prakash."), ("c", "Ravi Kumar and Naseer Ahmed fled. Unknown Person met Nobody Known."), ("d", None),
+    ], "doc_id string, text string").repartition(3)
+    index = spark.createDataFrame([("Naseer Ahmed", "P1"), ("Om Prakash", "P2"), ("Ravi Kumar", "P3")], "name string, id string")
+    linked = spark.createDataFrame([("a", 0, 12, "PERSON", "P1"), ("a", 38, 48, "PERSON", "P2"), ("c", 0, 10, "PERSON", "P3")], "doc_id string, start int, end int, label string, entity_id string")
+    got = {(r.doc_id, r.src, r.dst, r.relation, r.symmetric, r.evidence) for r in ner.relations(docs, linked, index).collect()}
+    assert got == {
+        ("a", "P1", "P2", "ACTS_ON_INSTRUCTIONS_OF", False, "Naseer Ahmed acted at the instance of Om Prakash."),
+        ("a", "P2", "P3", "MET_WITH", False, "Later he met Ravi Kumar."), ("c", "P3", "P1", "CO_ACCUSED_WITH", True, "Ravi Kumar and Naseer Ahmed fled."),
+    }
+
+
 def test_fusion_never_asserts_from_observation_alone(spark):
     rows = spark.createDataFrame([(1, 2, "co_place", 1.0, 0), (1, 3, "co_event", 0.3, 1), (1, 4, "co_event", 0.7, 2), (1, 5, "comm", 0.5, 0), (1, 5, "co_place", 0.5, 0)], "a int, b int, layer string, weight double, n_incidents long")
     edges, leads = graph.fuse(rows)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tracewell.conf import FUZZY_NAME
 from tracewell.functions import strings as S
 from tracewell.operators.pairing import paired
+from tracewell.sources.storage import materialise
 
 # Patterns of the first tier, in order; labels in SILENT take their span and are not reported.
 PATTERNS = {
@@ -255,7 +256,8 @@ def relations(documents: DataFrame, linked: DataFrame, index: DataFrame) -> Data
     linked: entities with entity_id; index: persons' name, id. The other end is the linked person nearest before the match.
     """
     unique = index.select(S.normalize("name").alias("key"), F.col("id").cast("string").alias("id")).distinct().groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1").select("key", "id")
-    m = matches(documents).withColumn("_m", F.monotonically_increasing_id()).withColumns({"_a": S.normalize("name_a"), "_b": S.normalize("name_b")})
+    m = materialise(matches(documents).withColumn("_m", F.monotonically_increasing_id()), "matches")  # stored: the numbers are read twice
+    m = m.withColumns({"_a": S.normalize("name_a"), "_b": S.normalize("name_b")})
     m = m.join(unique.select(F.col("key").alias("_b"), F.col("id").alias("id_b")), "_b").join(unique.select(F.col("key").alias("_a"), F.col("id").alias("id_a")), "_a", "left")
     people = linked.where("label = 'PERSON' and entity_id <> ''").select("doc_id", "end", "entity_id")
     near = m.where("mode <> 'both'").join(people, "doc_id").where(F.col("end") <= F.col("pos")).groupBy("_m").agg(F.max_by("entity_id", "end").alias("near"))
