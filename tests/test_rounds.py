@@ -3,10 +3,12 @@
 import glob
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
 from tracewell.operators import centrality as C
+from tracewell.plans import documents, network
 from tracewell.sources.storage import shared_dir
 
 
@@ -128,3 +130,20 @@ def test_labels_that_swing_are_told(spark):
     assert {got[k][0] for k in (1, 2, 3)} == {1} and all(got[k][1] for k in (1, 2, 3))
     assert got[7] == (7, False) and got[8] == (8, False)  # after an even number of rounds of taking each other's label
     assert C.label_propagation(edges.limit(0)).count() == 0
+
+
+def test_pagerank_of_a_two_sided_graph_settles(spark):
+    edges = [(hub, 10 + leaf, 1.0) for leaf in range(40) for hub in {leaf % 3, leaf % 4}]
+    m = matrix(edges, 50)[np.ix_(*[[i for i in range(50) if not 4 <= i < 10]] * 2)]
+    r = np.linalg.solve(np.eye(len(m)) - 0.85 * (m / m.sum(1)[:, None]).T, np.full(len(m), 0.15 / len(m)))
+    got = [x.pagerank for x in C.pagerank(frame(spark, edges), tolerance=1e-11).orderBy("id").collect()]
+    assert got == pytest.approx(r.tolist(), abs=1e-9)
+
+
+def test_pagerank_query_has_the_rounds_of_its_sql(spark, tmp_path):
+    rows = [(f'{{"k": {hub}}}', 10 + user, 1.0, None, "view", i) for i, (hub, user) in enumerate([(h, u) for u in range(300) for h in {u % 3, u % 7} for _ in range(2)])]
+    spark.createDataFrame(rows, "props string, user_id long, value double, ts timestamp_ntz, event_type string, event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    expect = sorted(con.execute(network.ORACLES["pagerank"]).fetchall())
+    assert [tuple(r) for r in network.QUERIES["pagerank"](spark, str(tmp_path)).orderBy("id").collect()] == [(i, pytest.approx(r, abs=1.1e-8)) for i, r in expect]
