@@ -147,3 +147,9 @@ def test_pagerank_query_has_the_rounds_of_its_sql(spark, tmp_path):
     con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
     expect = sorted(con.execute(network.ORACLES["pagerank"]).fetchall())
     assert [tuple(r) for r in network.QUERIES["pagerank"](spark, str(tmp_path)).orderBy("id").collect()] == [(i, pytest.approx(r, abs=1.1e-8)) for i, r in expect]
+
+
+def test_ego_network_has_all_nodes(spark, tmp_path):
+    rows = [('{"k": 120}', 1000 + user, 1.0, None, "view", user) for user in range(10_050) for _ in range(2)]
+    spark.createDataFrame(rows, "props string, user_id long, value double, ts timestamp_ntz, event_type string, event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    assert documents.QUERIES["ego_network"](spark, str(tmp_path)).count() == 10_051

@@ -38,8 +38,8 @@ def search(q: str, persons: DataFrame, phones: DataFrame | None = None, accounts
     return out.orderBy(F.desc("score"), "kind", "id").limit(limit)
 
 
-def ego(edges: DataFrame, focus, depth: int = 1, min_corroboration: int = 1, limit: int = 120, influence: DataFrame | None = None) -> DataFrame:
-    """id, hop of the nodes within depth hops over edges of enough corroboration; the nearest first, then the most influential."""
+def ego(edges: DataFrame, focus, depth: int = 1, min_corroboration: int = 1, limit: int | None = 120, influence: DataFrame | None = None) -> DataFrame:
+    """id, hop of the nodes within depth hops over edges of enough corroboration; the nearest first, then the most influential. limit None: all."""
     e = edges.where(F.col("corroboration") >= min_corroboration) if "corroboration" in edges.columns else edges
     e = both_ways(e.withColumn("weight", F.lit(1.0)))
     kind = dict(edges.dtypes)["a"]
@@ -50,7 +50,7 @@ def ego(edges: DataFrame, focus, depth: int = 1, min_corroboration: int = 1, lim
     if influence is not None:
         seen = seen.join(influence.select("id", F.col("influence_score").alias("_i")), "id", "left")
     order = [F.asc("hop"), *([F.desc_nulls_last("_i")] if influence is not None else []), F.asc("id")]
-    return seen.orderBy(*order).limit(limit).select("id", "hop")
+    return (seen.orderBy(*order) if limit is None else seen.orderBy(*order).limit(limit)).select("id", "hop")
 
 
 def subgraph(edges: DataFrame, vertices: DataFrame, min_corroboration: int = 2, limit: int = 400) -> tuple[DataFrame, DataFrame]:

@@ -50,7 +50,7 @@ def listed_places(s: SparkSession, d: str) -> DataFrame:
 
 
 def ego(s: SparkSession, d: str) -> DataFrame:
-    return serve.ego(graph.comm_layer(V.v_comm(s, d)).select("a", "b", "weight"), 120, 2, limit=10_000)
+    return serve.ego(graph.comm_layer(V.v_comm(s, d)).select("a", "b", "weight"), 120, 2, limit=None)
 
 
 def search(s: SparkSession, d: str) -> DataFrame:
