@@ -4,7 +4,8 @@ A document is the set of its distinct word shingles. Documents with equal sets f
 a number of its own: ids may repeat or be null. TREES signatures of DEPTH minima each are the trees of the forest. Documents
 that share a prefix in a tree are neighbours there: a region is those with one first minimum, and where more than RUN of
 them are, adaptively, those with a longer common prefix (LEVELS). More than RUN documents with one whole prefix are dealt to
-a ring of blocks, each compared within itself and with the next one. Regions follow from the documents alone, never from
+a ring of blocks, each compared within itself and with the next one; once components are known, blocks of the most frequent one
+meet all blocks of other components, and these each other, so that no two components of a prefix pass each other. Regions follow from the documents alone, never from
 partitions. Inside a region all documents are compared by the low bits of their minima, and each proposes its nearest
 neighbours and the most central one; proposals, not pairs, leave the task, so their number is linear in the documents.
 Proposals are confirmed on full sets in rounds, the nearest first, and a proposal whose two ends are joined already is
@@ -113,7 +114,7 @@ def signatures(df: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
 def forest(classes: DataFrame, run: int, parts: dict | None = None) -> DataFrame:
     """Each class in its region of each tree, sorted by region: region, what classes has without its minima.
 
-    parts keeps what was counted: a second call with the same one counts nothing.
+    Where classes has a component, any two of different components that share a whole prefix share a region. parts keeps what was counted: a second call with the same one counts nothing.
     """
     trees = classes.select("*", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).withColumn("minima", F.expr(f"substring(minima, tree * {4 * DEPTH} + 1, {4 * DEPTH})"))
     prefix = lambda d: F.substring("minima", 1, 4 * d).alias("prefix")
@@ -132,6 +133,7 @@ def forest(classes: DataFrame, run: int, parts: dict | None = None) -> DataFrame
     else:
         hot = parts["hot"]
     rows = trees.withColumn("_depth", F.lit(LEVELS[0])).withColumn("_many", F.lit(1).cast("long"))
+    apart = "component" in classes.columns and len(hot) == len(LEVELS)
     for (d, counts), deeper in itertools.zip_longest(hot, LEVELS[1:len(hot) + 1]):
         side = counts.select(F.col("tree").alias("_t"), F.col("prefix").alias("_p"), "n")
         rows = rows.join(side, (F.col("tree") == F.col("_t")) & (F.substring("minima", 1, 4 * d) == F.col("_p")), "left")
@@ -141,9 +143,20 @@ def forest(classes: DataFrame, run: int, parts: dict | None = None) -> DataFrame
             rows = rows.withColumn("_depth", F.when(F.col("n").isNotNull(), F.lit(deeper)).otherwise(F.col("_depth")))
         rows = rows.drop("_t", "_p", "n")
     own = F.pmod(F.xxhash64("cid", "tree"), F.col("_many"))
-    blocks = F.when(F.col("_many") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.array(own, F.pmod(own + 1, F.col("_many"))))
+    blocks = F.array(own, F.pmod(own + 1, F.col("_many")))
+    if apart:  # whole prefixes by component: the most frequent one has blocks of its own, which the others' meet, as these each other
+        sizes = rows.where("_many > 1").groupBy("tree", "minima", "component").agg(F.count("*").alias("n")).groupBy("tree", "minima").agg(F.max_by("component", F.struct("n", "component")).alias("_most"), F.max("n").alias("_n"), F.sum("n").alias("_all"))
+        of = lambda n: F.ceil(2 * n / run)
+        sizes = _shared.materialise(sizes.select(F.col("tree").alias("_t"), F.col("minima").alias("_p"), "_most", of(F.col("_n")).alias("_own"), of(F.col("_all") - F.col("_n")).alias("_rest")), "hot")
+        rows = rows.join(sizes, (F.col("tree") == F.col("_t")) & (F.col("minima") == F.col("_p")) & (F.col("_many") > 1), "left")
+        mine, most = F.xxhash64("cid", "tree"), F.col("component") == F.col("_most")
+        here = F.when(most, F.pmod(mine, F.col("_own"))).otherwise(F.col("_own") + F.pmod(mine, F.col("_rest")))
+        met = F.sequence(F.when(most, F.col("_own")).otherwise(F.lit(0)), F.col("_own") + F.col("_rest") - 1)
+        # two blocks are a region: the lesser one in the upper half of its number
+        blocks = F.when(F.col("_rest") == 0, F.array().cast("array<long>")).otherwise(F.transform(met, lambda x: F.shiftleft(F.least(x, here), 32) + F.greatest(x, here)))
+    blocks = F.when(F.col("_many") == 1, F.array(F.lit(0).cast("long"))).otherwise(blocks)
     dealt = rows.withColumn("_block", F.explode(blocks)).withColumn("region", F.expr("xxhash64(tree, substring(minima, 1, 4 * _depth), _block)"))
-    dealt = dealt.drop("minima", "tree", "_depth", "_many", "_block")
+    dealt = dealt.drop("minima", "tree", "_depth", "_many", "_block", "_t", "_p", "_most", "_own", "_rest")
     return dealt.repartition("region").sortWithinPartitions("region", "cid")
 
 
@@ -374,18 +387,23 @@ def linked(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     classes = _shared.materialise(same.withColumn("cid", F.monotonically_increasing_id()), "classes")
     bits = ["cid", "minima", "low0", "low1"]
 
-    found = proposals(forest(classes.select(*bits), run), percent, run)
+    first: dict = {}
+    found = proposals(forest(classes.select(*bits), run, first), percent, run)
     rank = Window.partitionBy("owner").orderBy("differ", "partner")
     found = found.groupBy("owner", "partner").agg(F.min("differ").alias("differ"))
     table = _shared.materialise(found.withColumn("rank", F.row_number().over(rank)), "proposals")
-    cids = table.select(F.explode(F.array("owner", "partner")).alias("cid")).distinct()
+    cids = table.select(F.explode(F.array("owner", "partner")).alias("cid"))
+    if len(first["hot"]) == len(LEVELS):  # a ring of blocks may keep partners apart: all that share a whole prefix with too many go on
+        prefixes = classes.select("cid", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.expr("minima").substr(k * (4 * DEPTH) + 1, F.lit(4 * DEPTH)))).alias("tree", "prefix"))
+        cids = cids.unionByName(prefixes.join(first["hot"][-1][1], ["tree", "prefix"], "left_semi").select("cid"))
+    cids = cids.distinct()
     near = _shared.materialise(classes.join(cids.hint("merge"), "cid", "left_semi"), "near")
     # a class's text is that of its first document. The same plan at every size: texts are dealt once
     wanted = near.select("cid", "first.id", "first.hash")
     texts = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
     texts = _shared.materialise(texts.join(wanted.hint("merge"), ["id", "hash"]).select("cid", "text").dropDuplicates(["cid"]), "texts")
 
-    # every class that has a proposal, with the least class of its component
+    # every class that has a proposal or a hot prefix, with the least class of its component
     joined = near.select(F.col("cid").alias("id"), F.col("cid").alias("component"))
     at = lambda c: joined.select(F.col("id").alias(c), F.col("component").alias(f"component_{c}"))
 
