@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tracewell.conf import Anomaly
 from tracewell.operators.ordering import quantile
 from tracewell.operators.pairing import paired
-from tracewell.sources.storage import materialise
+from tracewell.sources.storage import materialise, release
 
 CONF = Anomaly()
 HOUR = 3_600_000_000
@@ -117,30 +117,58 @@ def fanout(tx: DataFrame, conf: Anomaly = CONF) -> DataFrame:
     )
 
 
+def _in_circles(e: DataFrame) -> DataFrame:
+    """Pairs e (_src, _dst) without those that lie on no circle since nothing comes to _src or nothing goes on from _dst.
+
+    Again while a round drops a tenth or more: what is left afterwards costs time and changes no result.
+    """
+    e = materialise(e, "legs")
+    left = e.count()
+    while left:
+        fewer = e.join(e.select(F.col("_dst").alias("_src")).distinct(), "_src", "left_semi").join(e.select(F.col("_src").alias("_dst")).distinct(), "_dst", "left_semi")
+        fewer = materialise(fewer.select(*e.columns), "legs")
+        now = fewer.count()
+        release(e)
+        if now > 0.9 * left:
+            return fewer
+        e, left = fewer, now
+    return e
+
+
 def round_trips(tx: DataFrame, conf: Anomaly = CONF) -> DataFrame:
     """Sets of accounts that money passes in a circle and comes back to its start nearly whole.
 
     From each start, the first leg is the pair's earliest payment and each later one the earliest not before the leg before
-    it. Of a set's circles within the tolerance the one that starts first stays (ties: the least path). Prefixes whose times
-    don't fit end early, so that only paths in order of time are followed.
+    it. Of a set's circles within the tolerance the one that starts first stays (ties: the least path).
+
+    A circle is a way out and a way back that meet at both their ends, so only half its legs are followed from a start. A way
+    back has the latest time at which money may set out on it: it fits a way out that arrives by then.
     """
     t = prepared(tx)
     cut = quantile(t, "amount", conf.cycle_quantile, "cut")
     big = t.crossJoin(F.broadcast(cut)).where("amount >= cut and src <> dst")
     e = big.groupBy("src", "dst").agg(F.sort_array(F.collect_list(F.struct("ts", "amount"))).alias("txns")).select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.col("txns").alias("_txns"))
-    e = materialise(e, "legs")
-    paths = e.select(F.array("_src", "_dst").alias("path"), F.array(F.col("_txns")[0]).alias("legs"))
-    found = None
+    e = _in_circles(e)
     low, high = conf.cycle_hops
-    for size in range(2, high + 1):
-        grown = paths.join(e, F.element_at("path", -1) == F.col("_src")).withColumn("_leg", F.try_element_at(F.filter("_txns", lambda x: x.ts >= F.element_at("legs", -1).ts), F.lit(1))).where("_leg is not null")
-        closes = (F.col("_dst") == F.col("path")[0]) & F.lit(size >= low)
-        grown = materialise(grown.where(closes | ~F.array_contains("path", F.col("_dst"))).drop("_src", "_txns"), "circles")  # what closes here and what goes on both read it
-        legs = F.array_append("legs", F.col("_leg"))
-        if size >= low:
-            closed = grown.where("_dst = path[0]").select("path", legs.alias("legs"))
-            found = closed if found is None else found.unionByName(closed)
-        paths = grown.where(~F.array_contains("path", F.col("_dst"))).select(F.array_append("path", F.col("_dst")).alias("path"), legs.alias("legs"))
+    next_leg = F.try_element_at(F.filter("_txns", lambda x: x.ts >= F.element_at("legs", -1).ts), F.lit(1))
+    out = {1: e.select(F.array("_src", "_dst").alias("path"), F.array(F.col("_txns")[0]).alias("legs"))}
+    back = {1: e.select(F.array("_src", "_dst").alias("tail"), F.element_at("_txns", -1).ts.alias("until"))}
+    for size in range(2, (high + 1) // 2 + 1):
+        grown = out[size - 1].join(e, (F.element_at("path", -1) == F.col("_src")) & ~F.array_contains("path", F.col("_dst"))).withColumn("_leg", next_leg).where("_leg is not null")
+        out[size] = materialise(grown.select(F.array_append("path", F.col("_dst")).alias("path"), F.array_append("legs", F.col("_leg")).alias("legs")), "ways_out")
+    for size in range(2, high // 2 + 1):
+        grown = back[size - 1].join(e, (F.col("tail")[0] == F.col("_dst")) & ~F.array_contains("tail", F.col("_src")))
+        grown = grown.withColumn("_leg", F.try_element_at(F.filter("_txns", lambda x: x.ts <= F.col("until")), F.lit(-1))).where("_leg is not null")
+        back[size] = materialise(grown.select(F.array_prepend("tail", F.col("_src")).alias("tail"), F.col("_leg.ts").alias("until")), "ways_back")
+    found = None
+    for size in range(max(low, 2), high + 1):
+        between = F.slice("tail", 2, F.size("tail") - 2)
+        meets = (F.element_at("path", -1) == F.col("tail")[0]) & (F.col("path")[0] == F.element_at("tail", -1)) & (F.element_at("legs", -1).ts <= F.col("until")) & ~F.arrays_overlap("path", between)
+        closed = out[(size + 1) // 2].join(back[size // 2], meets).select(F.concat("path", between).alias("path"), "legs", "tail")
+        found = closed if found is None else found.unionByName(closed)
+    for i in range(high // 2):
+        pair = (F.get("tail", F.lit(i)) == F.col("_src")) & (F.get("tail", F.lit(i + 1)) == F.col("_dst"))
+        found = found.join(e, pair, "left").select("path", F.when(F.col("_src").isNull(), F.col("legs")).otherwise(F.array_append("legs", next_leg)).alias("legs"), "tail")
     start, end = F.col("legs")[0], F.element_at("legs", -1)
     near = found.where(F.abs(end.amount - start.amount) / start.amount <= conf.cycle_tolerance)
     best = near.groupBy(F.sort_array("path").alias("accounts")).agg(F.min(F.struct(start.ts.alias("ts"), F.col("path"), F.col("legs"))).alias("b")).select("b.path", "b.legs")
