@@ -62,3 +62,12 @@ def test_ways_that_lead_nowhere_are_not_followed(spark, monkeypatch):
     got = anomaly.round_trips(spark.createDataFrame(rows, SCHEMA), CONF.__class__(cycle_quantile=0.0)).collect()
     assert [r["path"] for r in got] == ["1>2>3"]
     assert max(stored) <= len(rows)
+
+
+def test_only_accounts_with_large_receipts_are_sliced(spark, monkeypatch):
+    rows = [paid(9, 1, 2_000_000, 0), paid(1, 2, 1_900_000, 5)] + [paid(50 + i, 80 + i, 10, i) for i in range(20)]
+    seen, cut = [], anomaly.sliced
+    monkeypatch.setattr(anomaly, "sliced", lambda df, length: seen.append(df.count()) or cut(df, length))
+    got = anomaly.dormant(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [(r["account"], r["inflow"], r["outflow"], r["dormant_days"]) for r in got] == [(1, 2_000_000.0, 1_900_000.0, 0)]
+    assert seen == [1]

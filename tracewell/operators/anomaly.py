@@ -181,18 +181,26 @@ def round_trips(tx: DataFrame, conf: Anomaly = CONF) -> DataFrame:
 def dormant(tx: DataFrame, conf: Anomaly = CONF) -> DataFrame:
     """Large receipts of an account that mostly leave again soon after; with the days that it was idle before."""
     t = prepared(tx)
-    moves = t.select(F.col("src").alias("account"), "ts", "_t", "amount", F.lit("OUT").alias("dir")).unionByName(t.select(F.col("dst").alias("account"), "ts", "_t", "amount", F.lit("IN").alias("dir")))
+    # large receipts in their own slice meet what leaves the same account in it and in the next: other moves decide nothing
+    large = t.where(F.col("amount") >= conf.dormant_amount).select(F.col("dst").alias("account"), "ts", "_t", "amount", F.lit(True).alias("_own"))
+    paid = t.join(large.select(F.col("account").alias("src")).distinct(), "src", "left_semi").select(F.col("src").alias("account"), "ts", "_t", "amount")
     length = conf.dormant_hours * HOUR
     w = Window.partitionBy("account", "_slice").orderBy("_t").rangeBetween(1, length)
-    out = F.col("dir") == "OUT"
-    after = sliced(moves, length).select(
-        "account", "ts", "_t", "amount", "dir", "_own", F.sum(F.when(out, F.col("amount").cast("decimal(18,2)"))).over(w).cast("double").alias("passed"), F.max(F.when(out, F.col("ts"))).over(w).alias("end")
-    ).where(F.col("_own") & (F.col("dir") == "IN") & (F.col("amount") >= conf.dormant_amount) & F.col("passed").isNotNull())
+    out = ~F.col("_own")
+    both = large.withColumn("_slice", F.floor(F.col("_t") / length)).unionByName(sliced(paid, length).withColumn("_own", F.lit(False)))
+    after = both.select(
+        "account", "ts", "_t", "amount", "_own", F.sum(F.when(out, F.col("amount").cast("decimal(18,2)"))).over(w).cast("double").alias("passed"), F.max(F.when(out, F.col("ts"))).over(w).alias("end")
+    ).where(F.col("_own") & F.col("passed").isNotNull())
     ratio = F.col("passed") / F.col("amount")
-    kept = after.where(ratio >= conf.dormant_ratio)
+    kept = materialise(after.where(ratio >= conf.dormant_ratio).drop("_own"), "receipts")  # read twice
     # idle time before: a move at the same moment means none. The move before is in the slice, or the last of the slice before
+    accounts = kept.select("account").distinct()
+    moves = None
+    for end in ("src", "dst"):
+        own = t.select(F.col(end).alias("account"), "_t").join(accounts, "account", "left_semi").groupBy("account", "_t").agg(F.count("*").alias("_n"))
+        moves = own if moves is None else moves.unionByName(own)
     w2, slices = Window.partitionBy("account", "_slice").orderBy("_t"), Window.partitionBy("account").orderBy("_slice")
-    moments = moves.join(kept.select("account").distinct(), "account", "left_semi").groupBy("account", "_t").agg(F.count("*").alias("at_once")).withColumn("_slice", F.floor(F.col("_t") / length))
+    moments = moves.groupBy("account", "_t").agg(F.sum("_n").alias("at_once")).withColumn("_slice", F.floor(F.col("_t") / length))
     ends = moments.groupBy("account", "_slice").agg(F.max("_t").alias("_last")).select("account", "_slice", F.lag("_last").over(slices).alias("_earlier"))
     distinct = moments.withColumn("_near", F.lag("_t").over(w2)).join(ends, ["account", "_slice"]).select("account", "_t", "at_once", F.coalesce("_near", "_earlier").alias("before"))
     idle = F.when(F.col("at_once") > 1, 0).otherwise(F.coalesce(F.floor((F.col("_t") - F.col("before")) / (24 * HOUR)), F.lit(0))).cast("int")
