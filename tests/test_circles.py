@@ -71,3 +71,15 @@ def test_only_accounts_with_large_receipts_are_sliced(spark, monkeypatch):
     got = anomaly.dormant(spark.createDataFrame(rows, SCHEMA)).collect()
     assert [(r["account"], r["inflow"], r["outflow"], r["dormant_days"]) for r in got] == [(1, 2_000_000.0, 1_900_000.0, 0)]
     assert seen == [1]
+
+
+def test_calls_of_all_times_meet_only_incidents_with_calls_just_before(spark, monkeypatch):
+    day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
+    incidents = spark.createDataFrame([(f"i{n}", day(10 * n)) for n in range(1, 30)], "incident string, ts timestamp_ntz")
+    accused = spark.createDataFrame([(f"i{n}", p) for n in range(1, 30) for p in (1, 2, 3)], "incident string, person long")
+    calls = spark.createDataFrame([(1, 2, day(50) - datetime.timedelta(hours=h)) for h in range(49)] + [(2, 3, day(3))] * 2, "caller long, callee long, ts timestamp_ntz")
+    met, write = {}, anomaly.materialise
+    monkeypatch.setattr(anomaly, "materialise", lambda df, name: met.setdefault(name, write(df, name)))
+    got = anomaly.call_bursts(calls, incidents, accused, CONF.__class__(burst_calls=2, burst_ratio=0.0)).collect()
+    assert [(r["incident"], r["calls_in_window"], r["group_size"], r["baseline_expected"]) for r in got] == [("i5", 49, 3, round(51 * 2 / CONF.burst_span_days, 2))]
+    assert [r["incident"] for r in met["bursts"].collect()] == ["i5"]

@@ -215,16 +215,24 @@ def call_bursts(calls: DataFrame, incidents: DataFrame, accused: DataFrame, conf
     """Incidents (incident, ts) whose accused (incident, person) called each other unusually often just before."""
     a = accused.where("person is not null").select("incident", "person").distinct()
     size = a.groupBy("incident").agg(F.count("*").alias("group_size")).where("group_size >= 2")
-    when = incidents.where("ts is not null").select("incident", micros("ts").alias("_i"), F.col("ts").alias("window_end")).join(size, "incident")
+    when = incidents.where("ts is not null").groupBy("incident", F.col("ts").alias("window_end")).agg(F.count("*").alias("_m")).join(size, "incident").withColumn("_i", micros("window_end"))
     members = a.join(when, "incident", "left_semi")
     c = calls.where("caller is not null and callee is not null and ts is not null").select("caller", "callee", micros("ts").alias("_t"))
-    # calls are counted by pair and moment first, so that a busy pair meets an incident once a moment
-    c = c.groupBy("caller", "callee", "_t").agg(F.count("*").alias("k"))
-    inside = c.join(members.withColumnRenamed("person", "caller"), "caller").join(members.withColumnRenamed("person", "callee"), ["callee", "incident"]).join(when, "incident")
-    near = F.col("_t").between(F.col("_i") - conf.burst_hours * HOUR, F.col("_i"))
-    n = inside.groupBy("incident", "group_size", "window_end").agg(F.sum(F.when(near, F.col("k")).otherwise(0)).alias("calls_in_window"), F.sum("k").alias("total"))
+    # calls just before meet the incidents of their own time alone, by slices of the window's length
+    length = conf.burst_hours * HOUR
+    at = F.floor(F.col("_i") / length)
+    mine = members.join(when, "incident").select(F.col("person").alias("caller"), "incident", "window_end", "_i", F.explode(F.array(at, at - 1)).alias("_slice"))
+    moments = c.groupBy("caller", "callee", "_t").agg(F.count("*").alias("k")).withColumn("_slice", F.floor(F.col("_t") / length))
+    near = moments.join(mine, ["caller", "_slice"]).where(F.col("_t").between(F.col("_i") - length, F.col("_i"))).join(members.withColumnRenamed("person", "callee"), ["callee", "incident"])
+    soon = when.join(near.groupBy("incident", "window_end").agg(F.sum("k").alias("k")), ["incident", "window_end"], "left").withColumn("calls_in_window", F.coalesce("k", F.lit(0)) * F.col("_m"))
+    soon = materialise(soon.where(F.col("calls_in_window") >= conf.burst_calls).drop("k", "_i"), "bursts")
+    # calls of all times are one row a pair, and meet the incidents that may still be reported
+    members = members.join(soon, "incident", "left_semi")
+    pairs = c.groupBy("caller", "callee").agg(F.count("*").alias("k"))
+    inside = pairs.join(members.withColumnRenamed("person", "caller"), "caller").join(members.withColumnRenamed("person", "callee"), ["callee", "incident"])
+    n = soon.join(inside.groupBy("incident").agg(F.sum("k").alias("k")), "incident").withColumn("total", F.col("k") * F.col("_m"))
     expected = F.col("total") * (conf.burst_hours / 24) / conf.burst_span_days
-    return n.where((F.col("calls_in_window") >= conf.burst_calls) & (F.col("calls_in_window") / expected >= conf.burst_ratio)).select(
+    return n.where(F.col("calls_in_window") / expected >= conf.burst_ratio).select(
         "incident", "calls_in_window", "group_size", F.round(expected, 2).alias("baseline_expected"), F.round(F.col("calls_in_window") / expected, 1).alias("ratio_to_baseline"), "window_end",
         F.round(F.least(F.lit(1.0), 0.4 + 0.02 * F.col("calls_in_window")), 4).alias("risk_score"),
     )
