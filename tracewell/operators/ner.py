@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,14 @@ PATTERNS = {
     "POLICE_STATION": r"\b(?:[A-Z][\w'\-]*(?:\s[A-Z][\w'\-]*)*)\sPolice\sStation\b",
 }
 SILENT = ("FIR_NO", "SEAL")
+# What every match of a pattern holds. It is found many times faster than that the pattern has no match.
+HOLDS = {
+    "FIR_NO": "FIR", "VEHICLE_REG": r"[A-Z]\d", "DATE": r"\d\.\d", "MONEY": r"Rs\.", "QUANTITY": r"\d\s", "SEAL": "'", "PHONE": r"\d{10}", "IMEI": r"\d{15}", "ACCOUNT": r"\d{11}", "POLICE_STATION": "Police",
+}
+#: Rows of a batch that a worker gives back, and texts that it has as Python objects at a time.
+BATCH, TEXTS = 20_000, 64
+#: Names whose words a worker remembers.
+MEMO = 1 << 16
 # A name after an alias mark, and capitalised words that may be a person.
 ALIAS = r"(?:@|\burf\b)\s+([A-Z][\w'\-]*(?:\s[A-Z][\w'\-]*){0,2})"
 CANDIDATE = r"\b([A-Z][a-z'\-]{1,}(?:\s[A-Z][a-z'\-]{1,}){0,3})\b"
@@ -90,7 +99,9 @@ class Cascade:
     a city, whether it is a city and an area, and whether it is a person's name or has a word of one."""
 
     def __init__(self):
-        self.first = [(k, re.compile(p)) for k, p in PATTERNS.items()]
+        self.first = [(k, re.compile(HOLDS[k]), re.compile(p)) for k, p in PATTERNS.items()]
+        self.digit, self.alias = re.compile(r"\d"), re.compile(ALIAS)
+        self.memo: dict[str, int] = {}
         self.trigger = re.compile(rf"(?:{'|'.join(TRIGGERS)})\s+$")
 
     @staticmethod
@@ -116,13 +127,23 @@ class Cascade:
         words = [w.lower().strip(".") for w in name.split()]
         return words if 1 <= len(words) <= 4 and not any(w in STOP_WORDS for w in words) else []
 
+    def name_length(self, name: str) -> int:
+        """How many letters of capitalised words may be a name, without stop words at their sides; 0 if none."""
+        n = self.memo.get(name)
+        if n is None:
+            n = self.trimmed_end(name, 0, len(name))
+            if not self.name_words(name[:n]):
+                n = 0
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.memo[name] = n
+        return n
+
     def candidates(self, text: str) -> Iterator[tuple[int, int]]:
         """Spans of capitalised words, without stop words at their sides."""
         for m in re.finditer(CANDIDATE, text):
-            s, e = m.span(1)
-            e = self.trimmed_end(text, s, e)
-            if e > s and self.name_words(text[s:e]):
-                yield s, e
+            if n := self.name_length(m[1]):
+                yield m.start(1), m.start(1) + n
 
     def claimed(
         self, text: str, listed: Iterable[tuple[str, Iterable[tuple[int, int]]]], city: Callable[[int, int], bool], both: Callable[[int, int], bool], named: Callable[[int, int], bool]
@@ -143,21 +164,21 @@ class Cascade:
                 if label not in SILENT:
                     found.append((s, e, label))
 
-        for label, rx in self.first:
-            for m in rx.finditer(text):
-                claim(*m.span(), label)
+        digits = self.digit.search(text) is not None
+        for label, holds, rx in self.first:
+            if (digits or "\\d" not in HOLDS[label]) and holds.search(text):
+                for m in rx.finditer(text):
+                    claim(*m.span(), label)
         for label, spans in listed:
             for s, e in spans:
                 if not (label == "GPE" and both(s, e) and self._locality(text, s, e, city)):
                     claim(s, e, label)
-        for m in re.finditer(ALIAS, text):
+        for m in self.alias.finditer(text) if "@" in text or "urf" in text else ():
             claim(m.start(1), self.trimmed_end(text, *m.span(1)), "ALIAS")
         for m in re.finditer(CANDIDATE, text):
             s, e = m.span(1)
-            if free(s, e):
-                e = self.trimmed_end(text, s, e)
-                if e > s and self.name_words(text[s:e]) and (named(s, e) or self.trigger.search(text[max(0, s - 24):s])):
-                    claim(s, e, "PERSON")
+            if free(s, e) and (n := self.name_length(m[1])) and (self.trigger.search(text[max(0, s - 24):s]) or named(s, s + n)):
+                claim(s, s + n, "PERSON")
         return sorted(found)
 
 
@@ -176,13 +197,32 @@ class Extractor(Cascade):
         return re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(values, key=lambda v: (-len(v), v)))) + r")(?!\w)")
 
     def _named(self, name: str) -> bool:
-        return S.py_normalize(name) in self.g.names or any(w in self.g.tokens for w in self.name_words(name))
+        return bool(self.g.names or self.g.tokens) and (S.py_normalize(name) in self.g.names or any(w in self.g.tokens for w in self.name_words(name)))
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         listed = ((label, (m.span() for m in rx.finditer(text))) for label, rx in self.listed)
         return self.claimed(text, listed, lambda s, e: text[s:e] in self.g.cities, lambda s, e: text[s:e] in self.both, lambda s, e: self._named(text[s:e]))
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of few texts: what a worker has as Python objects doesn't follow the batches that it is given."""
+    for b in batches:
+        for i in range(0, b.num_rows, TEXTS):
+            yield b.slice(i, TEXTS)
+
+
+def in_batches(rows: Iterable[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows as frames of a bounded number of rows: what a worker holds doesn't follow the batches that it is given."""
+    out: list[tuple] = []
+    for row in rows:
+        out.append(row)
+        if len(out) == BATCH:
+            yield pd.DataFrame(out, columns=columns)
+            out = []
+    if out:
+        yield pd.DataFrame(out, columns=columns)
+
+
 def extract(documents: DataFrame, g: Gazetteer = Gazetteer()) -> DataFrame:
     """doc_id, start, end, text, label of documents doc_id, text."""
     shared = documents.sparkSession.sparkContext.broadcast(g)  # its size is bounded where it is made
@@ -190,9 +230,8 @@ def extract(documents: DataFrame, g: Gazetteer = Gazetteer()) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         x = Extractor(shared.value)
-        for b in batches:
-            rows = [(d, s, e, t[s:e], label) for d, t in zip(b["doc_id"], b["text"], strict=True) if t for s, e, label in x.spans(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "text", "label"])
+        rows = ((d, s, e, t[s:e], label) for b in batches for d, t in zip(b["doc_id"], b["text"], strict=True) if t for s, e, label in x.spans(t))
+        yield from in_batches(rows, ["doc_id", "start", "end", "text", "label"])
 
     return documents.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, start int, end int, text string, label string")
 
@@ -237,15 +276,16 @@ def matches(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compiled = [(r, re.compile(p), m) for r, p, m in RELATIONS]
-        for b in batches:
-            rows = []
-            for d, t in zip(b["doc_id"], b["text"], strict=True):
-                for relation, rx, mode in compiled if t else ():
-                    for m in rx.finditer(t):
-                        before, after = t.rfind(". ", 0, m.start()), t.find(". ", m.start())
-                        sentence = t[before + 2 if before >= 0 else 0:after + 1 if after >= 0 else len(t)].strip()
-                        rows.append((d, relation, mode, m.start(), m["a"] if mode == "both" else None, m["b"], sentence))
-            yield pd.DataFrame(rows, columns=["doc_id", "relation", "mode", "pos", "name_a", "name_b", "evidence"])
+
+        def found(d, t: str) -> Iterator[tuple]:
+            for relation, rx, mode in compiled:
+                for m in rx.finditer(t):
+                    before, after = t.rfind(". ", 0, m.start()), t.find(". ", m.start())
+                    sentence = t[before + 2 if before >= 0 else 0:after + 1 if after >= 0 else len(t)].strip()
+                    yield d, relation, mode, m.start(), m["a"] if mode == "both" else None, m["b"], sentence
+
+        rows = (row for b in batches for d, t in zip(b["doc_id"], b["text"], strict=True) if t for row in found(d, t))
+        yield from in_batches(rows, ["doc_id", "relation", "mode", "pos", "name_a", "name_b", "evidence"])
 
     return documents.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, relation string, mode string, pos int, name_a string, name_b string, evidence string")
 

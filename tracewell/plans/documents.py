@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.operators import evaluate, graph, ner, serve, wordlists
 from tracewell.plans import layers as L
 from tracewell.plans import views as V
+from tracewell.sources.storage import materialise
 from tracewell.streaming import detectors
 
 
@@ -15,14 +16,17 @@ def regex_entities(s: SparkSession, d: str) -> DataFrame:
     return ner.extract(V.table(s, d, "documents"))
 
 
-def phone_index(s: SparkSession, d: str) -> DataFrame:
-    """As index: the documents' phone-like numbers, by document."""
-    return regex_entities(s, d).where("label = 'ACCOUNT'").select(F.lit("ORG").alias("kind"), F.col("text").alias("name"), F.col("doc_id").alias("id"))
+def linked(s: SparkSession, d: str) -> DataFrame:
+    """Entities against an index of the documents' phone-like numbers, by document."""
+    found = materialise(regex_entities(s, d), "entities")  # texts are read once
+    index = found.where("label = 'ACCOUNT'").select(F.lit("ORG").alias("kind"), F.col("text").alias("name"), F.col("doc_id").alias("id"))
+    return ner.link(found.withColumn("label", F.when(F.col("label") == "ACCOUNT", "ORG").otherwise(F.col("label"))), index)
 
 
-def gold(s: SparkSession, d: str) -> DataFrame:
-    """As truth: entities of even documents, and of the others without their last kind."""
-    return regex_entities(s, d).where("doc_id % 2 = 0 or label <> 'ACCOUNT'")
+def prf(s: SparkSession, d: str) -> DataFrame:
+    """Entities against those of even documents, and of the others without their last kind, as truth."""
+    found = materialise(regex_entities(s, d), "entities")  # texts are read once
+    return evaluate.entity_prf(found.where("doc_id % 2 = 0 or label <> 'ACCOUNT'"), found)
 
 
 def mentions(s: SparkSession, d: str) -> DataFrame:
@@ -75,8 +79,8 @@ QUERIES = {
     "ner_regex_entities": lambda s, d: regex_entities(s, d).groupBy("doc_id", "label").agg(F.count("*").alias("n")),
     "ner_listed_entities": lambda s, d: listed_entities(s, d).groupBy("doc_id", "label").agg(F.count("*").alias("n")),
     "listed_places": listed_places,
-    "ner_link": lambda s, d: ner.link(regex_entities(s, d).withColumn("label", F.when(F.col("label") == "ACCOUNT", "ORG").otherwise(F.col("label"))), phone_index(s, d)),
-    "ner_prf": lambda s, d: evaluate.entity_prf(gold(s, d), regex_entities(s, d)),
+    "ner_link": linked,
+    "ner_prf": prf,
     "relation_matches": lambda s, d: ner.matches(V.table(s, d, "documents")).groupBy("relation").agg(F.count("*").alias("n")),
     "co_mentions": lambda s, d: ner.co_mentions(mentions(s, d)),
     "search": search,
