@@ -45,8 +45,8 @@ def _filter(keys: DataFrame) -> np.ndarray:
     return np.packbits(out)
 
 
-def _probes(documents: DataFrame, keys: DataFrame, most: int) -> DataFrame:
-    """_row, start, end, key, piece: words that may begin a value (with what follows) and names that may be in a list."""
+def _probes(documents: DataFrame, keys: DataFrame, most: int, names: bool) -> DataFrame:
+    """_row, start, end, key, piece: words that may begin a value (with what follows) and, if asked, names that may be in a list."""
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(_filter(keys))  # of fixed size
 
@@ -58,19 +58,36 @@ def _probes(documents: DataFrame, keys: DataFrame, most: int) -> DataFrame:
             at = zlib.crc32(key.encode()) % FILTER_BITS
             return bool(bits[at >> 3] >> (7 - (at & 7)) & 1)
 
+        heads: dict[str, bool] = {}  # words and names repeat: what the filter says of them is remembered
+        known: dict[str, tuple[str, ...]] = {}
+
+        def begins(word: str) -> bool:
+            if len(heads) >= ner.MEMO:
+                heads.clear()
+            heads[word] = hit = may("H|" + word)
+            return hit
+
+        def keys_of(name: str) -> tuple[str, ...]:
+            if len(known) >= ner.MEMO:
+                known.clear()
+            known[name] = hits = tuple(key for key in {"N|" + S.py_normalize(name), *("T|" + w for w in cascade.name_words(name))} if may(key))
+            return hits
+
         def found(row: int, text: str) -> Iterator[tuple]:
-            for m in pieces.finditer(text) if most else ():
-                s, key = m.start(), "H|" + m[0]
-                if may(key) and not (s and re.match(r"\w", text[s - 1])):
-                    yield row, s, None, key, text[s:s + most + 1]
-            for s, e in cascade.candidates(text):
+            s = 0
+            for word in pieces.findall(text) if most else ():
+                hit = heads.get(word)
+                if (begins(word) if hit is None else hit) and not (s and re.match(r"\w", text[s - 1])):
+                    yield row, s, None, "H|" + word, text[s:s + most + 1]
+                s += len(word)
+            for s, e in cascade.candidates(text) if names else ():
                 name = text[s:e]
-                for key in {"N|" + S.py_normalize(name), *("T|" + w for w in cascade.name_words(name))}:
-                    if may(key):
-                        yield row, s, e, key, None
+                hits = known.get(name)
+                for key in keys_of(name) if hits is None else hits:
+                    yield row, s, e, key, None
 
         out: list[tuple] = []
-        for b in batches:
+        for b in ner.slices(batches):
             for row, text in zip(b["_row"].to_pylist(), b["text"].to_pylist(), strict=True):
                 for hit in found(row, text) if text else ():
                     out.append(hit)
@@ -110,7 +127,7 @@ def places(documents: DataFrame, words: DataFrame) -> DataFrame:
     """
     values = materialise(_values(words), "values")
     docs = materialise(documents.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()), "texts")
-    found = _found(_probes(docs, values.select("key"), _most(values)), values)
+    found = _found(_probes(docs, values.select("key"), _most(values), False), values)
     return docs.select("_row", "doc_id").join(found, "_row").drop("_row")
 
 
@@ -128,7 +145,7 @@ def extract(documents: DataFrame, words: DataFrame, persons: DataFrame | None =
         names = materialise(named.union(parts).distinct(), "names")
         keys = keys.union(names)
     docs = materialise(documents.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()), "texts")
-    probes = _probes(docs, keys, _most(values))
+    probes = _probes(docs, keys, _most(values), persons is not None)
     if persons is not None:
         probes = materialise(probes, "probes")
     found = _found(probes, values).select("_row", "label", "start", "end")
@@ -140,7 +157,7 @@ def extract(documents: DataFrame, words: DataFrame, persons: DataFrame | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cascade = ner.Cascade()
-        for b in batches:
+        for b in ner.slices(batches):
             out = []
             for i, (text, hits) in enumerate(zip(b["text"].to_pylist(), b["found"].to_pylist(), strict=True)):
                 if text:
