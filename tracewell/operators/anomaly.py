@@ -109,6 +109,7 @@ def fanout(tx: DataFrame, conf: Anomaly = CONF) -> DataFrame:
         "src", "ts", "_t", "_own", F.sort_array(F.collect_set("dst").over(w)).alias("targets"), F.sum(F.col("amount").cast("decimal(18,2)")).over(w).cast("double").alias("total"), F.max("ts").over(w).alias("end")
     ).where(F.col("_own") & (F.size("targets") >= conf.fanout_targets))
     first = starts.groupBy(F.col("src").alias("hub")).agg(F.min_by(F.struct("targets", "total", "ts", "end", "_t"), F.struct("_t", "total")).alias("w")).select("hub", "w.*")
+    first = materialise(first, "hubs")  # read twice
     cashed = cash_out_count(first.select("hub", F.explode("targets").alias("account"), F.col("_t").alias("_from")), tx, conf.cash_out_hours)
     n = F.size("targets")
     return first.join(cashed, "hub", "left").select(
@@ -183,7 +184,9 @@ def dormant(tx: DataFrame, conf: Anomaly = CONF) -> DataFrame:
     t = prepared(tx)
     # large receipts in their own slice meet what leaves the same account in it and in the next: other moves decide nothing
     large = t.where(F.col("amount") >= conf.dormant_amount).select(F.col("dst").alias("account"), "ts", "_t", "amount", F.lit(True).alias("_own"))
-    paid = t.join(large.select(F.col("account").alias("src")).distinct(), "src", "left_semi").select(F.col("src").alias("account"), "ts", "_t", "amount")
+    # stored, so that their size is known and payments are not shuffled to meet a few accounts
+    receivers = materialise(large.select(F.col("account").alias("src")).distinct(), "accounts")
+    paid = t.join(receivers, "src", "left_semi").select(F.col("src").alias("account"), "ts", "_t", "amount")
     length = conf.dormant_hours * HOUR
     w = Window.partitionBy("account", "_slice").orderBy("_t").rangeBetween(1, length)
     out = ~F.col("_own")
@@ -193,18 +196,23 @@ def dormant(tx: DataFrame, conf: Anomaly = CONF) -> DataFrame:
     ).where(F.col("_own") & F.col("passed").isNotNull())
     ratio = F.col("passed") / F.col("amount")
     kept = materialise(after.where(ratio >= conf.dormant_ratio).drop("_own"), "receipts")  # read twice
-    # idle time before: a move at the same moment means none. The move before is in the slice, or the last of the slice before
+    # idle time before: a move at the same moment means none. The move before is in the slice, or the last of the slice before.
+    # Receipts lie among the moves (_n 0 and 1), so that all rows are shuffled once; stored are receipts and the last row of each slice
     accounts = kept.select("account").distinct()
-    moves = None
+    rows = kept.select("account", "_t", F.lit(0).alias("_n"), F.struct("ts", "amount", "passed", "end").alias("_receipt"))
     for end in ("src", "dst"):
-        own = t.select(F.col(end).alias("account"), "_t").join(accounts, "account", "left_semi").groupBy("account", "_t").agg(F.count("*").alias("_n"))
-        moves = own if moves is None else moves.unionByName(own)
+        own = t.select(F.col(end).alias("account"), "_t").join(accounts, "account", "left_semi")
+        rows = rows.unionByName(own.withColumn("_n", F.lit(1)), allowMissingColumns=True)
     w2, slices = Window.partitionBy("account", "_slice").orderBy("_t"), Window.partitionBy("account").orderBy("_slice")
-    moments = moves.groupBy("account", "_t").agg(F.sum("_n").alias("at_once")).withColumn("_slice", F.floor(F.col("_t") / length))
-    ends = moments.groupBy("account", "_slice").agg(F.max("_t").alias("_last")).select("account", "_slice", F.lag("_last").over(slices).alias("_earlier"))
-    distinct = moments.withColumn("_near", F.lag("_t").over(w2)).join(ends, ["account", "_slice"]).select("account", "_t", "at_once", F.coalesce("_near", "_earlier").alias("before"))
+    moments = rows.withColumn("_slice", F.floor(F.col("_t") / length)).select(
+        "account", "_slice", "_t", "_receipt", F.sum("_n").over(w2.rangeBetween(0, 0)).alias("at_once"), F.max("_t").over(w2.rangeBetween(Window.unboundedPreceding, -1)).alias("_near"),
+        F.lead("_t").over(w2).isNull().alias("_ends"),
+    )
+    moments = materialise(moments.where("_ends or _receipt is not null"), "moments")
+    ends = moments.where("_ends").select("account", "_slice", F.lag("_t").over(slices).alias("_earlier"))
+    found = moments.where("_receipt is not null").join(ends, ["account", "_slice"]).select("account", "_t", "_receipt.*", "at_once", F.coalesce("_near", "_earlier").alias("before"))
     idle = F.when(F.col("at_once") > 1, 0).otherwise(F.coalesce(F.floor((F.col("_t") - F.col("before")) / (24 * HOUR)), F.lit(0))).cast("int")
-    return kept.join(distinct, ["account", "_t"]).select(
+    return found.select(
         "account", idle.alias("dormant_days"), (idle >= conf.dormant_days).alias("was_dormant"), F.col("amount").alias("inflow"), F.col("passed").alias("outflow"), F.round(ratio, 4).alias("passthrough_ratio"),
         F.col("ts").alias("window_start"), F.col("end").alias("window_end"),
         F.round(F.least(F.lit(1.0), 0.35 + F.when(ratio > 0.9, 0.2).otherwise(0.0) + F.when(idle >= conf.dormant_days, 0.25).otherwise(0.0)), 4).alias("risk_score"),
@@ -229,7 +237,8 @@ def call_bursts(calls: DataFrame, incidents: DataFrame, accused: DataFrame, conf
     # calls of all times are one row a pair, and meet the incidents that may still be reported
     members = members.join(soon, "incident", "left_semi")
     pairs = c.groupBy("caller", "callee").agg(F.count("*").alias("k"))
-    inside = pairs.join(members.withColumnRenamed("person", "caller"), "caller").join(members.withColumnRenamed("person", "callee"), ["callee", "incident"])
+    inside = pairs.join(members.withColumnRenamed("person", "caller"), "caller").groupBy("callee", "incident").agg(F.sum("k").alias("k"))  # before they meet the members called
+    inside = inside.join(members.withColumnRenamed("person", "callee"), ["callee", "incident"])
     n = soon.join(inside.groupBy("incident").agg(F.sum("k").alias("k")), "incident").withColumn("total", F.col("k") * F.col("_m"))
     expected = F.col("total") * (conf.burst_hours / 24) / conf.burst_span_days
     return n.where(F.col("calls_in_window") / expected >= conf.burst_ratio).select(
@@ -266,11 +275,8 @@ def burners(sims: DataFrame, calls: DataFrame, owners: DataFrame, conf: Anomaly
     )
 
 
-def as_findings(structured=None, layered=None, fanned=None, tripped=None, slept=None, burst=None, rotated=None) -> DataFrame:
-    """Detector outputs as one table of findings, numbered by risk."""
-    from tracewell.operators.ordering import numbered
-    from tracewell.sources.storage import materialise
-
+def gathered(structured=None, layered=None, fanned=None, tripped=None, slept=None, burst=None, rotated=None) -> DataFrame:
+    """Detector outputs as one stored table of findings, without numbers."""
     ids = lambda c, sep: F.split(c, sep)
     ev = lambda df, *c: F.struct(*[F.col(x) for x in c])
     s, e, r = F.col("window_start"), F.col("window_end"), F.col("risk_score")
@@ -300,8 +306,14 @@ def as_findings(structured=None, layered=None, fanned=None, tripped=None, slept=
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    out = out.withColumn("_key", F.concat_ws("|", "pattern", F.array_join("entity_ids", ","), F.col("window_start").cast("string"), "evidence"))
-    return numbered(materialise(out, "findings"), "risk_score", "_key", "_n").withColumn("finding_id", F.format_string("AN%05d", "_n")).drop("_key", "_n")
+    return materialise(out.withColumn("_key", F.concat_ws("|", "pattern", F.array_join("entity_ids", ","), F.col("window_start").cast("string"), "evidence")), "findings")
+
+
+def as_findings(structured=None, layered=None, fanned=None, tripped=None, slept=None, burst=None, rotated=None) -> DataFrame:
+    """Detector outputs as one table of findings, numbered by risk."""
+    from tracewell.operators.ordering import numbered
+
+    return numbered(gathered(structured, layered, fanned, tripped, slept, burst, rotated), "risk_score", "_key", "_n").withColumn("finding_id", F.format_string("AN%05d", "_n")).drop("_key", "_n")
 
 
 def evaluate(findings: DataFrame, truth: DataFrame) -> DataFrame:
