@@ -56,3 +56,18 @@ def test_nulls_repeats_clashes_and_empty(spark):
     out = bpe.decode(bpe.encode(df, "byte_bpe_50k.json"), "byte_bpe_50k.json").collect()
     assert sorted((r.doc_id, r.n_tokens, r.decoded_text) for r in out) == [(1, 0, ""), (2, 0, ""), (2, 1, "hi"), (2, 1, "hi")]
     assert bpe.digests(df.limit(0)).count() == 0
+
+
+def test_small_memos_and_edges_that_are_walked_once(library, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_PIECES", 3)
+    monkeypatch.setattr(bpe, "MEMO_PAIRS", 3)
+    walked, walk = [], bpe.Codec._edge
+    monkeypatch.setattr(bpe.Codec, "_edge", staticmethod(lambda token, toward: walked.append(token) or walk(token, toward)))
+    codec = bpe.Codec(PATH)
+    texts = ["enlaouque entreeuxelle outreiertre", "laenqueenelle enpaouq uneaielle " * 3, *ODD]
+    for _ in range(2):
+        for text in texts:
+            assert codec.encode(text) == b"".join(i.to_bytes(4, "little") for i in library.encode(text, add_special_tokens=False).ids)
+        assert len(codec.memo) <= 3 and len(codec.old_memo) <= 3 and len(codec.pairs) <= 3
+        again, walked[:] = list(walked), []
+    assert not again  # the second time, every edge is known

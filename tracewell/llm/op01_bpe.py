@@ -14,8 +14,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
+import weakref
 from array import array
 from collections.abc import Iterable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,8 @@ MEMO_PAIRS = 100_000
 #: Ids are below this, so that a pair of them is one number.
 MOST_IDS = 1 << 20
 NEVER = 1 << 60
+#: Stands for a token at the beginning of a piece.
+START = MOST_IDS
 #: The pre-tokenizer pattern of byte-level BPE files that have use_regex set (a fixed value of that format).
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -61,8 +66,17 @@ class Vocabulary:
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; bytes that are not UTF-8 become U+FFFD. An id outside the vocabulary adds nothing."""
-        known = self.bytes_of
-        return b"".join([known.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        return b"".join(map(self.bytes_of.get, ids, repeat(b""))).decode("utf-8", "replace")
+
+
+class Memo(dict):
+    """The ids of pieces; of those that it lacks, what its codec finds."""
+
+    def __init__(self, codec: Codec):
+        self.codec = weakref.proxy(codec)  # no cycle: a codec that is dropped is freed at once
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.codec.piece(piece)
 
 
 class Codec(Vocabulary):
@@ -86,6 +100,8 @@ class Codec(Vocabulary):
         self.born = array("i", [none]) * most  # token -> rank of the merge that makes it; bytes: -1
         self.left = array("i", [none]) * most
         self.right = array("i", [none]) * most
+        self.right_edge: list[tuple[int, ...] | None] = [None] * most  # bounded by the vocabulary
+        self.left_edge: list[tuple[int, ...] | None] = [None] * most
         self.joins: dict[int, int] = {}
         own = [i for t, i in vocab.items() if len(t) == 1]
         for i in own:
@@ -112,7 +128,7 @@ class Codec(Vocabulary):
                 automaton.add_word(b.decode("latin-1"), t)
         automaton.make_automaton()
         self.ends = automaton.iter
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(self)
         self.old_memo: dict[str, bytes] = {}
 
     def compatible(self, a: int, b: int, before: int = NEVER) -> bool:
@@ -128,30 +144,39 @@ class Codec(Vocabulary):
             if (known := self.old_pairs.get(key)) is not None:
                 self._remember_pair(key, known)
                 return known
-        up_a, up_b, right, left, never = [a], [b], self.right, self.left, NEVER
-        while (x := right[up_a[-1]]) >= 0:
-            up_a.append(x)
-        while (x := left[up_b[-1]]) >= 0:
-            up_b.append(x)
+        if (up_a := self.right_edge[a]) is None:
+            up_a = self.right_edge[a] = self._edge(a, self.right)
+        if (up_b := self.left_edge[b]) is None:
+            up_b = self.left_edge[b] = self._edge(b, self.left)
+        born, joins, never = self.born, self.joins.get, NEVER
         i, j = len(up_a) - 1, len(up_b) - 1
         fits = True
+        grow_a = born[up_a[i - 1]] if i else never
+        grow_b = born[up_b[j - 1]] if j else never
         while True:
-            grow_a = self.born[up_a[i - 1]] if i else never
-            grow_b = self.born[up_b[j - 1]] if j else never
-            rank = self.joins.get(up_a[i] << 20 | up_b[j], never)
-            if rank < before and rank < grow_a and rank <= grow_b:
+            if (rank := joins(up_a[i] << 20 | up_b[j], never)) < before and rank < grow_a and rank <= grow_b:
                 fits = False
                 break
-            if not i and not j:
-                break
             if grow_a <= grow_b:
+                if not i:  # neither grows
+                    break
                 i -= 1
+                grow_a = born[up_a[i - 1]] if i else never
             else:
                 j -= 1
+                grow_b = born[up_b[j - 1]] if j else never
         if before == NEVER:
             self._remember_pair(key, fits)
         return fits
 
+    @staticmethod
+    def _edge(token: int, toward: array) -> tuple[int, ...]:
+        """A token and the tokens at one of its edges as it was merged, the byte last."""
+        chain = [token]
+        while (x := toward[chain[-1]]) >= 0:
+            chain.append(x)
+        return tuple(chain)
+
     def _remember_pair(self, key: int, fits: bool) -> None:
         if len(self.pairs) >= MEMO_PAIRS:
             self.old_pairs, self.pairs = self.pairs, {}
@@ -159,7 +184,8 @@ class Codec(Vocabulary):
 
     def _remember_piece(self, text: str, ids: bytes) -> None:
         if len(self.memo) >= MEMO_PIECES:
-            self.old_memo, self.memo = self.memo, {}
+            self.old_memo = dict(self.memo)
+            self.memo.clear()
         self.memo[text] = ids
 
     def piece(self, text: str) -> bytes:
@@ -169,30 +195,40 @@ class Codec(Vocabulary):
             return known
         s = text.encode().decode("latin-1")
         n, size = len(s), self.size
-        # a long piece's prefixes take four bytes each
+        # a long piece's prefixes take four bytes each; the prefix before the first byte is the last place
         last = [-1] * (n + 1) if n <= 64 else array("i", [-1]) * (n + 1)
+        last[n] = START
+        known, compatible = self.pairs.get, self.compatible
         for end, t in self.ends(s):
-            end += 1
-            start = end - size[t]
-            if last[end] < 0 and (start == 0 or (last[start] >= 0 and self.compatible(last[start], t))):
-                last[end] = t
-        ids, at = array("i"), n
-        while at:  # the last token tells where the prefix before it ends
+            if last[end] < 0 and (before := last[end - size[t]]) >= 0:
+                if before == START:
+                    last[end] = t
+                else:
+                    if (fits := known(before << 20 | t)) is None:
+                        fits = compatible(before, t)
+                        known = self.pairs.get  # a new generation may have begun
+                    if fits:
+                        last[end] = t
+        ids, at = array("I"), n - 1
+        while at >= 0:  # the last token tells where the prefix before it ends
             ids.append(t := last[at])
             at -= size[t]
-        out = np.array(ids[::-1], dtype="<u4").tobytes()
+        ids.reverse()
+        if sys.byteorder != "little":
+            ids.byteswap()
+        out = ids.tobytes()
         if len(text) <= 64:
             self._remember_piece(text, out)
         return out
 
     def encode(self, text: str) -> bytes:
-        piece = self.piece
+        known = self.memo.__getitem__
         out: list[bytes] = []
         for k, part in enumerate(self.split_added.split(text) if self.split_added else [text]):
             if k % 2:
                 out.append(np.uint32(self.added[part]).astype("<u4").tobytes())
             else:
-                out += [self.memo.get(p) or piece(p) for p in self.pieces(part)]
+                out += map(known, self.pieces(part))
         return b"".join(out)
 
 
