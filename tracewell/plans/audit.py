@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.operators import checks, scorecard
+from tracewell.operators import checks, graph, links, scorecard
 from tracewell.operators.checks import Holds, Measured, Resolves, Unique
 from tracewell.operators.evaluate import ari_nmi
 from tracewell.operators.centrality import modularity
@@ -13,6 +13,7 @@ from tracewell.operators.iterate import components
 from tracewell.operators.ordering import numbered
 from tracewell.plans import network as N
 from tracewell.plans import views as V
+from tracewell.sources.storage import materialise
 
 RULES = [
     Resolves("relations: src", "relations", "src", "customer", "c_custkey"), Resolves("relations: dst", "relations", "dst", "supplier", "s_suppkey"), Resolves("calls: callee", "calls", "callee", "customer", "c_custkey"),
@@ -39,7 +40,11 @@ def segments(s: SparkSession, d: str) -> DataFrame:
 
 
 def parity(s: SparkSession, d: str) -> DataFrame:
-    return N.calls_graph(s, d).select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", (F.col("id") % 5).alias("community"))
+    return parity_in(N.calls_graph(s, d))
+
+
+def parity_in(g: DataFrame) -> DataFrame:
+    return g.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", (F.col("id") % 5).alias("community"))
 
 
 def spans(s: SparkSession, d: str) -> DataFrame:
@@ -53,15 +58,18 @@ def spans(s: SparkSession, d: str) -> DataFrame:
 
 def tables(s: SparkSession, d: str) -> dict[str, DataFrame]:
     found = {t: V.table(s, d, t) for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents")}
-    relations, calls, g = V.v_rel(s, d), V.v_comm(s, d), N.sparse_graph(s, d)
+    # several rules and derived tables read these: lines meet orders once, and calls and spans are worked out once
+    relations, calls = materialise(V.v_rel(s, d), "relations"), materialise(V.v_comm(s, d), "calls")
+    pairs = lambda least: materialise(graph.comm_layer(calls, least).select("a", "b", "weight"), "pairs")
+    g, every = pairs(4), pairs(graph.CONF.min_calls)
     people = found["customer"].select(F.col("c_custkey").alias("id"))
-    own = checks.spans_in_texts(spans(s, d), found["documents"])
+    own = materialise(checks.spans_in_texts(spans(s, d), found["documents"]), "spans")
     customers = found["customer"].select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("t"), F.col("c_nationkey").alias("f"))
     return found | {
         "relations": relations, "calls": calls, "spans": own, "per_document": found["documents"].select("doc_id").join(own, "doc_id", "left").groupBy("doc_id").agg(F.count("start").alias("spans")),
         "bulk": found["lineitem"].where("l_quantity >= 45").select(F.col("l_partkey").alias("part")), "topology": checks.topology(g, people, components(g)),
-        "agreement": ari_nmi(customers, "t", "f").crossJoin(modularity(N.calls_graph(s, d), parity(s, d))), "surfacing": checks.surfacing(balances(s, d), segments(s, d)),
-        "leaked": N.rel_known(s, d).join(N.known(s, d), ["person_a", "person_b"], "left_semi"), "handsets": found["lineitem"].groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("subscribers")),
+        "agreement": ari_nmi(customers, "t", "f").crossJoin(modularity(every, parity_in(every))), "surfacing": checks.surfacing(balances(s, d), segments(s, d)),
+        "leaked": links.known_pairs(relations).join(links.known_pairs(calls.select(F.col("caller").alias("src"), F.col("callee").alias("dst"))), ["person_a", "person_b"], "left_semi"), "handsets": found["lineitem"].groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("subscribers")),
     }
 
 
