@@ -248,11 +248,13 @@ def link(entities: DataFrame, index: DataFrame, phones: DataFrame | None = None)
     """entities with entity_id, candidates (five at most, joined by |), link_confidence and ambiguous.
 
     index: kind (PERSON, LOC or ORG), name, id. A person's or alias's id only if it is the only one; a place's or
-    organisation's the first. phones: msisdn, id.
+    organisation's the first. Names without a letter that the normal form keeps, as numbers, are compared as they are.
+    phones: msisdn, id.
     """
-    keys = index.select("kind", S.normalize("name").alias("key"), F.col("id").cast("string").alias("id")).where("key <> ''").distinct()
+    key = lambda c: F.coalesce(F.nullif(S.normalize(c), F.lit("")), F.trim(c), F.lit(""))
+    keys = index.select("kind", key("name").alias("key"), F.col("id").cast("string").alias("id")).where("key <> ''").distinct()
     groups = keys.groupBy("kind", "key").agg(F.slice(F.sort_array(F.collect_set("id")), 1, 5).alias("ids"), F.count_distinct("id").alias("n"))
-    e = entities.withColumns({"_key": S.normalize("text"), "_kind": F.when(F.col("label") == "ALIAS", "PERSON").otherwise(F.col("label"))})
+    e = entities.withColumns({"_key": key("text"), "_kind": F.when(F.col("label") == "ALIAS", "PERSON").otherwise(F.col("label"))})
     exact = e.join(groups, (F.col("_kind") == F.col("kind")) & (F.col("_key") == F.col("key")), "left").drop("kind", "key")
     missing = exact.where("label = 'PERSON' and n is null").select(F.col("_key").alias("key")).distinct()
     fuzzy = fuzzy_names(missing, groups.where("kind = 'PERSON'").select(F.col("key").alias("name"))).join(groups.where("kind = 'PERSON'").select(F.col("key").alias("name"), F.col("ids").alias("_ids"), F.col("n").alias("_n")), "name").select(F.col("key").alias("_fk"), "_ids", "_n")
@@ -263,7 +265,7 @@ def link(entities: DataFrame, index: DataFrame, phones: DataFrame | None = None)
         out = out.withColumn("_phone", F.lit(None).cast("string"))
     person = F.col("_kind") == "PERSON"
     one = F.when(person & (F.col("n") > 1), "").otherwise(F.col("ids")[0])
-    sure = F.when(F.col("n") == 1, 1.0).when(person, F.round(1 / F.col("n"), 3)).otherwise(0.5)
+    sure = F.when(F.col("n") == 1, 1.0).when(person, F.round(1 / F.col("n"), 3)).when(F.col("n") > 1, 0.5)
     return out.select(
         *entities.columns, F.coalesce("_phone", one, F.lit("")).alias("entity_id"), F.array_join(F.coalesce("ids", F.array().cast("array<string>")), "|").alias("candidates"),
         F.when(F.col("_phone").isNotNull(), 1.0).otherwise(F.coalesce(sure, F.lit(0.0))).alias("link_confidence"), F.coalesce(person & (F.col("n") > 1), F.lit(False)).alias("ambiguous"),

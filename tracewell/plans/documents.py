@@ -17,7 +17,7 @@ def regex_entities(s: SparkSession, d: str) -> DataFrame:
 
 
 def linked(s: SparkSession, d: str) -> DataFrame:
-    """Entities against an index of the documents' phone-like numbers, by document."""
+    """Entities against an index of the documents' account numbers, by document."""
     found = materialise(regex_entities(s, d), "entities")  # texts are read once
     index = found.where("label = 'ACCOUNT'").select(F.lit("ORG").alias("kind"), F.col("text").alias("name"), F.col("doc_id").alias("id"))
     return ner.link(found.withColumn("label", F.when(F.col("label") == "ACCOUNT", "ORG").otherwise(F.col("label"))), index)
